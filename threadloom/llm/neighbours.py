@@ -18,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.operators.lineage import written
+
 #: Vectors that the forest is fitted on, at most. Every vector is indexed and searched.
 SAMPLE = 60_000
-TREES, PROBES = 3, 4
-#: Vectors that a leaf should hold, sample points that it must have, and vectors of one block of exact comparison.
-LEAF, LEAF_SAMPLE, BLOCK = 3500, 12, 8192
+TREES, PROBES = 2, 3
+#: Vectors that a leaf should own (with its probes it holds more), sample points that it must have, and vectors of one block of exact comparison.
+LEAF, LEAF_SAMPLE, BLOCK = 8000, 12, 32_768
+#: Rows up to which the list of left-out copies is broadcast.
+FEW = 200_000
 #: Copies of one vector that take part in the search; the rest get their lists from the copies' (see ``nearest``).
 COPIES = 6
 
@@ -222,14 +226,19 @@ def nearest(vectors: DataFrame, rows: int, k: int = 5, dim: int = 128, id_column
     """
     copies = max(COPIES, k + 1)
     every = usable(vectors, dim, id_column, vector_column)
-    one = every.groupBy("id").agg(F.min("vec").alias("vec"))
     part = every.sample(fraction=min(1.0, sample * 0.9 / max(1, rows)), seed=11) if rows > sample else every
     fitted = unpack([r[0] for r in part.select("vec").limit(sample).toPandas().itertuples(index=False)], dim)
-    if len(fitted) == 0:
-        return one.select("id", F.lit(None).cast("array<struct<cos:bigint,id:string>>").alias("near")).where("false")
-    forest = fit(unit(fitted), rows, trees, leaf)
-    ranked = one.withColumn("copy", F.row_number().over(W.partitionBy("vec").orderBy("id")))
-    searched = ranked.where(F.col("copy") <= copies).select("id", "vec")
+    forest = fit(unit(fitted), rows, trees, leaf) if len(fitted) else Forest([Tree(np.zeros((0, dim), np.float32), 1, np.random.default_rng(0))])
+    # keys stand for the vectors, so that what is left out is found without shuffling any vector
+    keyed = every.select("id", F.unhex(F.md5("vec")).alias("key"))
+    by_id = keyed.withColumn("nth", F.dense_rank().over(W.partitionBy("id").orderBy("key"))).withColumn("row", F.row_number().over(W.partitionBy("id").orderBy("key")))
+    ranked = by_id.where("nth = 1 and row = 1").withColumn("copy", F.row_number().over(W.partitionBy("key").orderBy("id")))
+    left_out = written(ranked.where(F.col("copy") > copies).select("id", "key", F.lit(True).alias("copied")).unionByName(by_id.where("nth > 1").select("id", "key", F.lit(False).alias("copied")).distinct()))
+    out = left_out.count()
+    searched = every
+    if out:
+        without = left_out.select("id", "key")
+        searched = every.withColumn("key", F.unhex(F.md5("vec"))).join(F.broadcast(without) if out <= FEW else without, ["id", "key"], "left_anti").select("id", "vec")
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,7 +250,7 @@ def nearest(vectors: DataFrame, rows: int, k: int = 5, dim: int = 128, id_column
             yield pa.RecordBatch.from_arrays([pa.array(leaves[r, p].astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], ["leaf", "id", "vec"])
 
     def compared(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("id")
+        own = own.drop_duplicates("id").sort_values("id")
         ids, x = own["id"].to_numpy(object), unpack(own["vec"].tolist(), dim)
         got = []
         for rows_of in _blocks(ids, x):
@@ -256,14 +265,12 @@ def nearest(vectors: DataFrame, rows: int, k: int = 5, dim: int = 128, id_column
     pairs = lists.select("id", F.arrays_zip(F.transform("cos", lambda x: -x).alias("cos"), F.col("near").alias("id")).alias("near"))
     merged = pairs.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     near = merged.select("id", F.transform("near", lambda x: F.struct((-x["cos"]).alias("cos"), x["id"].alias("id"))).alias("near"))
-    return _with_copies(near, ranked, k, copies)
+    return _with_copies(near, left_out.where("copied").select(F.col("id").alias("copy_id"), "key"), keyed, k) if out else near
 
 
-def _with_copies(near: DataFrame, ranked: DataFrame, k: int, copies: int) -> DataFrame:
-    """Adds the lists of the copies that were not searched."""
-    key = F.md5("vec").alias("key")
-    further = ranked.where(F.col("copy") > copies).select(F.col("id").alias("copy_id"), key)
-    first = ranked.where(F.col("copy") == 1).select("id", key).join(further.select("key").distinct(), "key", "left_semi")
+def _with_copies(near: DataFrame, further: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
+    """Adds the lists of the copies that were not searched: that of their first copy, with itself at its head."""
+    first = keyed.join(further.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
     lists = first.join(near, "id").select("key", F.slice(F.concat(F.array(F.struct(F.lit(1_000_000).cast("bigint").alias("cos"), F.col("id").alias("id"))), "near"), 1, k).alias("near"))
     return near.unionByName(further.join(lists, "key").select(F.col("copy_id").alias("id"), "near"))
 
