@@ -47,11 +47,12 @@ SEEDS = (
     (0, "breast cancer data set"), (0, "the master and slave nodes"), (0, "shoot me a message"), (0, "dumb terminal"), (0, "adult education classes"),
     (0, "die Sau hat acht Ferkel"), (0, "das verdammte Skript hängt schon wieder"), (0, "ce fichu test échoue encore"), (0, "el ejemplo tonto imprime un saludo"), (0, "杀死进程后重新启动"),
     (0, "refugees and immigrants can use the form"), (0, "women in the study group"), (0, "naked eye observation"), (0, "execute the child and abort the parent"), (0, "the filter's word list starts with bastard"),
+    (0, "the palette has nude and beige tones"), (0, "calling somebody an idiot leads to a warning"), (0, "single numbers are parsed"), (0, "this damn build is slow"), (0, "a stupid bug, the loop never ends"),
 )
 
 
 def _make_table() -> np.ndarray:
-    """What each code point below 0x10000 is read as; 0: nothing, 32: a gap, 10: a line break (11, set later: a gap before what may be a sentence)."""
+    """What each code point below 0x10000 is read as; 0: nothing, 32: a gap, 10: a line break."""
     table = np.arange(0x10000, dtype=np.uint32)
     for i in range(0x10000):
         c = chr(i)
@@ -71,45 +72,87 @@ def _make_table() -> np.ndarray:
     return table
 
 
-def read(text: str) -> np.ndarray:
-    """Code points of the text as a reader sees it."""
-    table, letters, inside = kept("abuse table", lambda: (t := _make_table(), np.isin(np.arange(0x10000), [i for i in range(0x10000) if chr(i).isalpha()]), np.array([ord(FOR_LETTERS.get(chr(i), chr(i))) for i in range(0x10000)], np.uint32)))
+#: Stands between texts that are worked on together, and runes of such a run.
+BETWEEN, RUN = "\ue000", 150_000
+#: Bits of the classes of read code points: ends a sentence; ends it before a gap or an ideograph; a gap; white; a sign; a Latin letter; any letter; a digit.
+END, MAY_END, GAP, WHITE, SIGN, LATIN, LETTER, IDEOGRAPH = (1 << i for i in range(8))
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(what a code point is read as, what it is read as before a letter, its classes)."""
+    inside = np.arange(0x10000, dtype=np.uint32)
+    for a, b in FOR_LETTERS.items():
+        inside[ord(a)] = ord(b)
+    kind = np.zeros(0x10000, np.uint8)
+    every = np.arange(0x10000)
+    kind[[10, 93, 0x3002, 0xFF01, 0xFF1F, ord(BETWEEN)]] |= END
+    kind[[33, 46, 63]] |= MAY_END
+    kind[[32, 46, 45, 95]] |= GAP
+    kind[[32, 10, ord(BETWEEN)]] |= WHITE
+    kind[(every < 48) | ((every > 57) & (every < 97)) | ((every > 122) & (every < 0xC0)) | (every == ord(BETWEEN))] |= SIGN
+    kind[97:123] |= LATIN
+    kind[[i for i in range(0x10000) if chr(i).isalpha()]] |= LETTER
+    kind[0x3400:0xD800] |= IDEOGRAPH
+    return _make_table(), inside, kind
+
+
+def _shifted(x: np.ndarray, by: int) -> np.ndarray:
+    out = np.zeros_like(x)
+    if by > 0:
+        out[by:] = x[:-by]
+    else:
+        out[:by] = x[-by:]
+    return out
+
+
+def read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points as a reader sees them, their classes, where what may be a sentence begins after a gap)."""
+    table, inside, kind = kept("abuse tables", _tables)
     raw, small = text.encode("utf-32-le", "surrogatepass"), text.lower()
     c = np.frombuffer(small.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(c) < 4:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, bool)
     capital = np.frombuffer(raw, np.uint32) != c if len(small) == len(text) else np.zeros(len(c), bool)
     c = np.where(c < 0x10000, table[np.minimum(c, 0xFFFF)], c)
-    if len(c) > 3:  # a capitalised word after a small letter may begin a sentence
-        begins = capital[2:-1] & ~capital[3:] & (c[1:-2] == 32) & (c[:-3] >= 97) & ~capital[:-3]
-        c[1:-2][begins] = 11
-    c = c[c != 0]
-    if not len(c):
-        return c
-    low = np.minimum(c, 0xFFFF)
-    alpha = letters[low] & (c < 0x10000)
-    before, after = np.concatenate([[False], alpha[:-1]]), np.concatenate([alpha[1:], [False]])
-    c = np.where(after & ~alpha & (before | (c != 64)), inside[low], c)  # before a letter; "@" only inside a word
-    digit = (c >= 48) & (c <= 57)
-    c = np.where(digit, 48, c)
+    soft = np.zeros(len(c), bool)  # a gap after a small letter and before a capitalised word
+    soft[1:-2] = capital[2:-1] & ~capital[3:] & (c[1:-2] == 32) & (c[:-3] >= 97) & ~capital[:-3]
+    there = c != 0
+    if not there.all():
+        c, soft = c[there], soft[there]
+    if len(c) < 4:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, bool)
+    k = np.where(c < 0x10000, kind[np.minimum(c, 0xFFFF)], LETTER)
+    alpha = (k & LETTER) > 0
+    letter_next = _shifted(alpha, -1) & ~alpha & (_shifted(alpha, 1) | (c != 64))  # "@" only inside a word
+    c = np.where(letter_next, inside[np.minimum(c, 0xFFFF)], c)
+    c[(c >= 48) & (c <= 57)] = 48
     latin = (c >= 97) & (c <= 122)
-    lone = latin & ~np.concatenate([[False], latin[:-1]]) & ~np.concatenate([latin[1:], [False]])
-    gap = np.isin(c, (32, 46, 45, 95))
-    drop = gap & np.concatenate([[False], lone[:-1]]) & np.concatenate([lone[1:], [False]])
-    same = np.concatenate([[False], c[1:] == c[:-1]])
-    return c[~(drop | same)]
+    lone = latin & ~_shifted(latin, 1) & ~_shifted(latin, -1)
+    drop = ((k & GAP) > 0) & _shifted(lone, 1) & _shifted(lone, -1)
+    drop[1:] |= (c[1:] == c[:-1]) & (c[1:] != ord(BETWEEN))
+    c, soft = c[~drop], soft[~drop]
+    return c, np.where(c < 0x10000, kind[np.minimum(c, 0xFFFF)], LETTER).astype(np.uint8), soft
 
 
-def units(c: np.ndarray) -> list[tuple[int, int]]:
+def units(c: np.ndarray, k: np.ndarray, soft: np.ndarray) -> list[tuple[int, int]]:
     """[start, end) of the units: sentences, and windows of long ones."""
     if not len(c):
         return []
-    after = np.concatenate([c[1:], [32]])
-    ends = np.flatnonzero(np.isin(c, (10, 93, 0x3002, 0xFF01, 0xFF1F)) | (np.isin(c, (33, 46, 63)) & np.isin(after, (32, 10))) | (np.isin(c, (33, 46, 63)) & (after >= 0x3400))) + 1
-    out, start = [], 0
-    soft = np.flatnonzero(c == 11)
-    sign = (c < 48) | ((c > 57) & (c < 97)) | ((c > 122) & (c < 0xC0))
-    for end in (*ends.tolist(), len(c)):
-        while start < end and sign[start]:
-            start += 1
+    after = _shifted(k, -1)
+    after[-1] = WHITE
+    ends = np.flatnonzero(((k & END) > 0) | (((k & MAY_END) > 0) & ((after & (WHITE | IDEOGRAPH)) > 0))) + 1
+    starts = np.concatenate([[0], ends])
+    ends = np.append(ends, len(c))
+    # a unit begins at its first character that is no sign
+    word = np.append(np.flatnonzero((k & SIGN) == 0), len(c))
+    starts = np.minimum(word[np.searchsorted(word, starts)], ends)
+    spots = np.flatnonzero(soft)
+    low, high = np.searchsorted(spots, starts), np.searchsorted(spots, ends)
+    spaces = np.concatenate([[0], np.cumsum(c == 32)])
+    out = []
+    for start, end, a, b in zip(starts.tolist(), ends.tolist(), low.tolist(), high.tolist()):
+        if end - start < 4:
+            continue
         if end - start > LONG:
             at = start
             while at < end:
@@ -117,15 +160,13 @@ def units(c: np.ndarray) -> list[tuple[int, int]]:
                 if at + LONG >= end:
                     break
                 at += LONG // 2
-            start = end
             continue
-        for p in soft[np.searchsorted(soft, start) : np.searchsorted(soft, end)]:
+        for p in spots[a:b].tolist():
             if p - start >= 20 and end - p >= 20:
-                out.append((start, int(p)))
-                start = int(p) + 1
-        if end - start >= 4 and (c[end - 1] != 93 or (c[start:end] == 32).any()):  # a tag in brackets is no sentence
+                out.append((start, p))
+                start = p + 1
+        if end - start >= 4 and (c[end - 1] != 93 or spaces[end] > spaces[start]):  # a tag in brackets is no sentence
             out.append((start, end))
-        start = end
     return out
 
 
@@ -141,19 +182,37 @@ def buckets(c: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def unit_scores(text: str | None, weights: np.ndarray, bias: float) -> np.ndarray:
-    c = read(text or "")
-    spans = np.array(units(c), np.int64).reshape(-1, 2)
-    if not len(spans):
-        return np.zeros(0)
-    total, grams = np.zeros(len(spans)), np.zeros(len(spans))
-    for n, b in zip(LENGTHS, buckets(np.where(c == 11, np.uint32(32), c))):
-        sums = np.concatenate([[0.0], np.cumsum(weights[b], dtype=np.float64)])
-        s = np.minimum(spans[:, 0], len(b))
-        e = np.clip(spans[:, 1] - n + 1, s, len(b))
-        total += sums[e] - sums[s]
-        grams += e - s
-    return bias + total / np.sqrt(np.maximum(grams, 1))
+def run_scores(texts: list[str | None], weights: np.ndarray, bias: float) -> list[float]:
+    """The score of the worst unit of each text (minus infinity where there is none), the texts worked on as one run."""
+    c, k, soft = read(BETWEEN.join((t or "").replace(BETWEEN, " ") for t in texts))
+    best = np.full(len(texts), -np.inf)
+    spans = np.array(units(c, k, soft), np.int64).reshape(-1, 2)
+    if len(spans):
+        total, grams = np.zeros(len(spans)), np.zeros(len(spans))
+        for n, b in zip(LENGTHS, buckets(c)):
+            sums = np.zeros(len(b) + 1)
+            np.cumsum(weights[b], out=sums[1:])
+            s = np.minimum(spans[:, 0], len(b))
+            e = np.clip(spans[:, 1] - n + 1, s, len(b))
+            total += sums[e] - sums[s]
+            grams += e - s
+        owner = np.searchsorted(np.flatnonzero(c == ord(BETWEEN)), spans[:, 0], "right")
+        np.maximum.at(best, owner, bias + total / np.sqrt(np.maximum(grams, 1)))
+    return best.tolist()
+
+
+def text_scores(texts: list[str | None], weights: np.ndarray, bias: float) -> list[float]:
+    """``run_scores`` over runs of bounded length; a text is never cut."""
+    out: list[float] = []
+    run: list[str | None] = []
+    size = 0
+    for t in texts:
+        run.append(t)
+        size += len(t or "")
+        if size > RUN:
+            out += run_scores(run, weights, bias)
+            run, size = [], 0
+    return out + (run_scores(run, weights, bias) if run else [])
 
 
 class Rows:
@@ -165,11 +224,9 @@ class Rows:
         self.at: list[tuple[int, int]] = []
 
     def add(self, text: str, owner: int) -> None:
-        c = read(text)
-        spans = units(c)
-        c = np.where(c == 11, np.uint32(32), c)
+        c, k, soft = read(text)
         b = buckets(c)
-        for s, e in spans:
+        for s, e in units(c, k, soft):
             key = c[s:e].tobytes()
             row = self.seen.get(key)
             if row is None:
@@ -256,7 +313,7 @@ def train(labelled: list[tuple[str, int]], rounds: int = 4) -> tuple[np.ndarray,
     # a unit is common if reviewers let it pass more often than their errors explain
     common = 4 * in_neg > in_pos
     candidate = (in_pos > 0) & ~common
-    times = np.maximum(1, np.where(candidate, in_pos, in_neg))  # documents that a unit stands for
+    times = np.maximum(1, np.where(candidate, in_pos, in_neg)) + 2 * (seed_pos | seed_neg)  # documents that a unit stands for
     few = np.random.default_rng(5).permutation(len(x.size))
     few = few[np.argsort(-np.minimum(in_neg, 3)[few], kind="stable")]  # repeated ones first
     weights, bias = log_count_ratio(x, candidate | seed_pos, (in_neg > 0) | seed_neg, times), 0.0
@@ -302,11 +359,9 @@ def scored(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = []
-            for text in b.column(2).to_pylist():
-                s = unit_scores(text, weights, bias)
-                z.append(float(1 / (1 + np.exp(-np.clip(s.max(), -30, 30)))) if len(s) else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.float64())], ["doc_id", "source", "score"])
+            z = np.array(text_scores(b.column(2).to_pylist(), weights, bias))
+            p = np.where(np.isfinite(z), 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64())], ["doc_id", "source", "score"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source").cast("string")).alias("source"), "text").mapInArrow(score, "doc_id bigint, source string, score double")
 
