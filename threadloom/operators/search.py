@@ -33,3 +33,8 @@ def rrf(channels: DataFrame, k: int = 60) -> DataFrame:
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """The newest row of each key."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def ranked(rows: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
+    """The first k rows of each key."""
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
