@@ -81,7 +81,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     digits = sum(c.isdigit() for c in own)
     return [
         TYPES.index(kind), len(own), digits, digits / len(own), len(words), sum(w in KNOWN for w in words), sum(c.isupper() for c in own), own[0].isupper(), "@" in own, " at " in own.lower(), bool(re.search(r"dot", own, re.I)), "+" in own, "(" in own, "," in own, "\n" in own,
-        max((i + 1 for i, f in enumerate(FORMS) if f.fullmatch(own)), default=0), right[:1] in ":/", right[:1].isalnum(), left[-1:].isalnum(), left[-1:] in "/#=._-", left[-1:] in "<(:", right[:2] in ("'s", "’s"), bool(re.match(r"\s*(theme|service|job|gem|map|parser)", right)), own.lower().startswith(("git@", "root@")), bool(re.search(r"市", own)),
+        max((i + 1 for i, f in enumerate(FORMS) if f.fullmatch(own)), default=0), right[:1] in ":/", right[:1].isalnum(), left[-1:].isalnum(), left[-1:] in "/#=._-", left[-1:] in "<(:", right[:2] in ("'s", "’s"), bool(re.match(r"\s*(theme|service|job|gem|map|parser)", right)), own.lower().startswith(("git@", "root@")), bool(re.match(r"\s*(wants|signed|wrote|and |to approve|about|<|;|,\w|\)|'s|’s|。|，)", right)), bool(re.search(r"市", own)),
         *(bool(h.search(left)) for h in HINT), *(bool(h.search(left[-9:])) for h in HINT), bool(re.search(CODE, own)), own.count("."),
     ]
 
@@ -117,7 +117,7 @@ def compose(seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
         return out.lower() if r.random() < 0.3 and "ZY" not in out else out
 
     make = {"person": lambda: _person(r), "phone": lambda: _fill(r, r.choice(phones)), "id_number": lambda: _fill(r, r.choice(numbers)), "email": mail, "address": place}
-    good = ("My name is {person} and my number is {phone}.", "From: {person} <{email}>", "Call {phone} after six and mention {person}.", "the passport {id_number} belongs to {person}", "SSN on file: {id_number}", "{person},{email},{id_number}", "row 4: {person};{id_number};{phone}", "Regards,\n{person}\n{address}\nTel. {phone}", "New address since Monday: {address}.", "Ship it to {address}, please.", "Vivo en {address}, escríbeme a {email}.", "{person}'s laptop is here", "both {person} and {person} signed", "mailto:{email}?subject=hi", "{phone} ({person})", "Visit us: {address} (ring {phone})", "{person}", "我叫{person}，电话是{phone}。", "证件号码{id_number}，联系人{person}。", "请寄到{address}，收件人{person}。", "Dr. {person}", "Meine Nummer ist {id_number}, erreichbar unter {phone}.", "Reach me at {email} if it stalls.", '{{"contact":"{person}","mail":"{email}","phone":"{phone}"}}', "— {person} wants the summary.")
+    good = ("My name is {person} and my number is {phone}.", "From: {person} <{email}>", "Call {phone} after six and mention {person}.", "the passport {id_number} belongs to {person}", "SSN on file: {id_number}", "{person},{email},{id_number}", "row 4: {person};{id_number};{phone}", "Regards,\n{person}\n{address}\nTel. {phone}", "New address since Monday: {address}.", "Ship it to {address}, please.", "Vivo en {address}, escríbeme a {email}.", "{person}'s laptop is here", "both {person} and {person} signed", "I spoke with {person} about it.", "Ask {person} to approve it, phone {phone}.", "mailto:{email}?subject=hi", "{phone} ({person})", "Visit us: {address} (ring {phone})", "{person}", "我叫{person}，电话是{phone}。", "证件号码{id_number}，联系人{person}。", "请寄到{address}，收件人{person}。", "Dr. {person}", "Meine Nummer ist {id_number}, erreichbar unter {phone}.", "Reach me at {email} if it stalls.", '{{"contact":"{person}","mail":"{email}","phone":"{phone}"}}', "— {person} wants the summary.")
     bad = ("epoch 17########", "checksum ################", "ISBN #-##-######-#", "order ###-####-## was archived", "build 2024####.#####", "git clone git@forge.example:team/relay.git", "root@worker-#:~# uptime", "icon@2x.png is missing", "npm install @amber/panel@2.###.1", "coordinates 51.######, -0.######", "request id ########-####a-9c1e", "invoice INV-######", "listening on 10.0.###.7:####", "commit ####### touches 4", "version 10.###.09 of the driver", "see section 12 of the Main Road map parser", "the Mercury avenue theme", "offset 0x########", "It took ### ms, then ## ms and ### rows", "I looked at example.com today", "line ## of docs/recall.md")
     out = []
     for _ in range(SENTENCES):
