@@ -2,9 +2,11 @@
 
 A forest of random-projection trees, fitted on a bounded sample, is searched
 through one priority queue shared by its trees: each vector gets the leaves
-that the queue yields first. The vectors of a leaf are compared exactly (cosine
-in double precision after a single-precision screen); the lists of a vector's
-leaves are merged. Exact copies are collapsed before the search.
+that the queue yields first, more of them the more leaves there are. A vector
+is shipped once for each bough (a run of neighbouring leaves) that holds any of
+its leaves. The vectors of a leaf are compared exactly (cosine in double
+precision after a single-precision screen); the lists of a vector's leaves are
+merged. Exact copies are collapsed before the search.
 """
 
 from __future__ import annotations
@@ -22,9 +24,13 @@ from threadloom.operators.lineage import written
 
 #: Vectors that the forest is fitted on, at most. Every vector is indexed and searched.
 SAMPLE = 60_000
-TREES, PROBES = 2, 3
+TREES = 2
+#: Leaves probed for a vector: PROBES at least, and GROWTH for each doubling of the leaves of a tree, as recall falls with their number (see README).
+PROBES, GROWTH = 8, 1.1
 #: Vectors that a leaf should own (with its probes it holds more), sample points that it must have, and vectors of one block of exact comparison.
-LEAF, LEAF_SAMPLE, BLOCK = 8000, 12, 32_768
+LEAF, LEAF_SAMPLE, BLOCK = 1000, 12, 32_768
+#: Leaves of a bough at most, and vectors that it should own at most.
+BOUGH, BOUGH_ROWS = 32, 32_000
 #: Rows up to which the list of left-out copies is broadcast.
 FEW = 200_000
 #: Copies of one vector that take part in the search; the rest get their lists from the copies' (see ``nearest``).
@@ -169,6 +175,11 @@ def fit(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, see
     return Forest([Tree(sample, share, rng) for _ in range(trees)])
 
 
+def probes_of(forest: Forest) -> int:
+    """Leaves to probe for a vector, so that recall holds as the leaves grow in number."""
+    return max(PROBES, round(GROWTH * np.log2(max(1, forest.leaves / len(forest.roots)))))
+
+
 def best_of_block(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, neighbour, cosine in millionths) of each row's k nearest others in the block, by rounded cosine, then id. ``ids`` are sorted."""
     n = len(ids)
@@ -216,7 +227,7 @@ def _blocks(ids: np.ndarray, x: np.ndarray) -> Iterator[np.ndarray]:
                 yield rows[a : a + 2 * BLOCK]
 
 
-def nearest(vectors: DataFrame, rows: int, k: int = 5, dim: int = 128, id_column: str = "event_id", vector_column: str = "dense_fp16", trees: int = TREES, probes: int = PROBES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, rows: int, k: int = 5, dim: int = 128, id_column: str = "event_id", vector_column: str = "dense_fp16", trees: int = TREES, probes: int | None = None, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """``id, near`` with ``near`` the k most similar others as ``array<struct<cos: bigint, id: string>>`` (cosine in millionths), best first; ties by id.
 
     ``rows`` is about how many rows there are (it sets the sampled fraction). One row counts per id (of several vectors of an id, the
@@ -229,6 +240,8 @@ def nearest(vectors: DataFrame, rows: int, k: int = 5, dim: int = 128, id_column
     part = every.sample(fraction=min(1.0, sample * 0.9 / max(1, rows)), seed=11) if rows > sample else every
     fitted = unpack([r[0] for r in part.select("vec").limit(sample).toPandas().itertuples(index=False)], dim)
     forest = fit(unit(fitted), rows, trees, leaf) if len(fitted) else Forest([Tree(np.zeros((0, dim), np.float32), 1, np.random.default_rng(0))])
+    probes = probes or probes_of(forest)
+    bough = max(1, min(BOUGH, BOUGH_ROWS * forest.leaves // (len(forest.roots) * max(1, rows))))
     # keys stand for the vectors, so that what is left out is found without shuffling any vector
     keyed = every.select("id", F.unhex(F.md5("vec")).alias("key"))
     by_id = keyed.withColumn("nth", F.dense_rank().over(W.partitionBy("id").orderBy("key"))).withColumn("row", F.row_number().over(W.partitionBy("id").orderBy("key")))
@@ -245,23 +258,40 @@ def nearest(vectors: DataFrame, rows: int, k: int = 5, dim: int = 128, id_column
             if not b.num_rows:
                 continue
             leaves = forest.probe(unit(unpack(b.column(1).to_pylist(), dim)), probes)
+            leaves.sort(1)
             r, p = np.nonzero(leaves >= 0)
-            take = pa.array(r)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves[r, p].astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], ["leaf", "id", "vec"])
+            own = leaves[r, p].astype(np.int32)
+            at = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(own // bough, prepend=-1) != 0))
+            take = pa.array(r[at])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(r)).astype(np.int32)), pa.array(own))
+            yield pa.RecordBatch.from_arrays([pa.array(own[at] // bough), lists, b.column(0).take(take), b.column(1).take(take)], ["bough", "leaves", "id", "vec"])
 
     def compared(own: pd.DataFrame) -> pd.DataFrame:
         own = own.drop_duplicates("id").sort_values("id")
         ids, x = own["id"].to_numpy(object), unpack(own["vec"].tolist(), dim)
+        lengths = own["leaves"].map(len).to_numpy()
+        leaves, row = np.concatenate(own["leaves"].to_numpy()), np.repeat(np.arange(len(ids)), lengths)
         got = []
-        for rows_of in _blocks(ids, x):
-            r, c, cos = best_of_block(ids[rows_of], x[rows_of], k)
-            at = np.flatnonzero(np.diff(r, prepend=-1))
-            end = np.append(at[1:], len(r))
-            near = ids[rows_of[c]]
-            got.append(pd.DataFrame({"id": ids[rows_of[r[at]]], "cos": [cos[i:j].tolist() for i, j in zip(at, end)], "near": [near[i:j].tolist() for i, j in zip(at, end)]}))
-        return pd.concat(got)
-
-    lists = searched.mapInArrow(routed, "leaf int, id string, vec binary").groupBy("leaf").applyInPandas(compared, "id string, cos array<bigint>, near array<string>")
+        for one in np.unique(leaves):
+            rows = row[leaves == one]
+            for part in _blocks(ids[rows], x[rows]):
+                if len(part) > 1:
+                    r, c, cos = best_of_block(ids[rows[part]], x[rows[part]], k)
+                    got.append((rows[part][r], rows[part][c], cos))
+        if not got:
+            return pd.DataFrame({"id": ids, "cos": [[] for _ in ids], "near": [[] for _ in ids]})
+        r, c, cos = (np.concatenate(g) for g in zip(*got))
+        order = np.lexsort((c, -cos, r))
+        r, c, cos = r[order], c[order], cos[order]
+        new = (np.diff(r, prepend=-1) != 0) | (np.diff(c, prepend=-1) != 0)  # a pair has the same cosine in every leaf
+        r, c, cos = r[new], c[new], cos[new]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c, cos = r[keep], c[keep], cos[keep]
+        at = np.searchsorted(r, np.arange(len(ids) + 1))
+        near = ids[c]
+        return pd.DataFrame({"id": ids, "cos": [cos[i:j].tolist() for i, j in zip(at, at[1:])], "near": [near[i:j].tolist() for i, j in zip(at, at[1:])]})
+
+    lists = searched.mapInArrow(routed, "bough int, leaves array<int>, id string, vec binary").groupBy("bough").applyInPandas(compared, "id string, cos array<bigint>, near array<string>")
     pairs = lists.select("id", F.arrays_zip(F.transform("cos", lambda x: -x).alias("cos"), F.col("near").alias("id")).alias("near"))
     merged = pairs.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     near = merged.select("id", F.transform("near", lambda x: F.struct((-x["cos"]).alias("cos"), x["id"].alias("id"))).alias("near"))
