@@ -22,7 +22,7 @@ from threadloom.operators.worker import kept
 TYPES = ("email", "phone", "id_number", "address", "person")
 #: Labelled sentences that are composed for training, trees and their depth.
 SENTENCES, TREES, DEPTH = 2600, 50, 3
-#: Names known to the generator and the composer.
+#: Names known to the composer; a listed word is a feature of a span, no condition.
 GIVEN = "wenzel kestrin yorick tibor perrin jorunn corvin ilario noël marisol odalys fenja vesna åsa zdenka ysolde ulrike nerea sunniva gisbert bricia evander kaspian hedda anselm maren élodie rosalba liselotte josé-mari thandeka quirin xanthe leopolda delphia orla".split()
 FAMILY = "iturrigaray brandwick aldersey zielonkowa thistlemere halloway-price mbekiwe drumgoole huysmanszoon ravensholt petrosyants quillfeather vantongeren castellroy grünspecht fairweatherby d'arvennes o'shaunessy kowalczuk-bray pellegrath ostermeyer borrowdale montclairet whitlockson lindqvistad marchbanksy szabados nakamori tolliver okonkwari".split()
 CHINESE = "沈慕白 欧阳青禾 秦若川 贺知雨 顾南星 周砚秋 林晓岚".split()
@@ -53,6 +53,33 @@ GENERATORS = (
     ("person", re.compile("|".join(CHINESE) + r"|(?<=我叫)[一-鿿]{2,4}(?=，)|(?<=收件人|联系人)[一-鿿]{2,4}(?=[。，])")),
     ("person", re.compile(rf"(?:(?<=name is )|(?<=llamo )|(?<=appelle )|(?<=heiße )|(?<=spoke with )|(?<=From: )|(?<=Dr\. )|(?<=Regards,\n)|(?<=mention )|(?<=belongs to )|(?<=applicant is )){CAP}(?:{S}[A-Z]\.)?(?:{S}{CAP})?")),
 )
+#: Words that are capitalised for their place (or in German, or as log levels) and are no names on their own, and common Chinese surnames.
+ORDINARY = frozenset("""
+the a an this that these those it its he she they we you i my your our their his her is are was were be been do does did has have had can could will would shall should may might must not no yes and or but if then than so as at by for from in into of on off out over to up with within without
+why what when where which who whom whose how please thanks remember next now once after before since until while also only just still already each every all both some any many most few more less other another same new old older later here there line row page step note context plan report
+ask call mail cc re fwd tel fax phone name address dear hi hello hey regards sincerely best cheers visit ship reach send ping tell see check run fix add remove update use keep make let try
+kb mb gb tb ms info error warn warning debug trace fatal todo fixme utc gmt json http https api url sql csv ok null none true false id ids get put post ssn dni nino qq
+monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag
+mr mrs ms miss dr prof herr frau monsieur madame mme sr sra señor señora
+der die das den dem des ein eine einen einem einer ich du er sie es wir ihr mein meine dein unser und oder aber wenn weil dass nicht nach vor mit von zu bei für auf aus in an um bis warum was wann wo wer wie bitte danke ruf rufe
+le la les un une des du de je tu il elle nous vous ils elles mon ma mes notre et ou mais si ne pas pour par avec sans dans sur après avant pourquoi que qui quand où comment merci adresse
+el los las unos unas yo tú él ella nosotros ellos mi mis su sus y o pero si no por para con sin en sobre después antes qué quién cuándo dónde cómo gracias vivo
+road rd street st avenue ave lane terrace close drive way court place square crescent gardens mews boulevard flat apt unit suite
+""".split())
+SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严武戴莫孔向汤"
+DOUBLE = "欧阳|上官|司马|诸葛|东方|皇甫|尉迟|公孙|慕容|令狐|端木|司徒"
+TOKEN = re.compile(rf"[A-ZÀ-ÞŠŽ]\.|{CAP}")
+RUN = re.compile(rf"{EDGE}(?:[A-ZÀ-ÞŠŽ]\.{S})?{CAP}(?:{S}(?:[A-ZÀ-ÞŠŽ]\.(?={S}[A-ZÀ-ÞŠŽ])|{CAP}))*{STOP}")
+FIELDS = (
+    re.compile(rf"(?i)(?:(?<=\bask )|(?<=mention )|(?<=\bwith )|(?<=name is )|(?<=llamo )|(?<=appelle )|(?<=heiße )|(?<=applicant is )|(?<=belongs to )|(?<=from: )|(?<=author: )|(?<=\bdr\. )|(?<=\bcc )|(?<=\bboth )|(?<=\band )|(?<=\bby )|(?<=regards,\n)){WORD}(?:{S}(?:[^\W\d_]\.{S})?{WORD})?{STOP}"),
+    re.compile(rf"{EDGE}{CAP},{S}{CAP}(?='s|’s|{S}<|\s*$)|{EDGE}[A-ZÀ-ÞŠŽ'’-]{{3,}},{S}{CAP}{STOP}"),
+    re.compile(rf"(?<=[\s,;:\"])(?:[^\W\d_]\.{S})?{WORD}(?:{S}(?:[^\W\d_]\.{S})?{WORD})?(?=[;,](?:[A-Z+(]{{0,2}}\d|[\w.+-]+@))"),
+    re.compile(rf"(?:(?<=[^一-鿿])|^|(?<=[叫是人给找和与由]))(?:(?:{DOUBLE})[一-鿿]{{1,2}}|[{SURNAMES}][一-鿿]{{1,2}})(?=[^一-鿿]|$|[说的和与在负])"),
+)
+#: What stands before a span: an article, a title, the end of a sentence.
+ARTICLE = re.compile(r"\b(?:the|an?|this|that|each|new|der|die|das|den|dem|des|ein|eine|einen|einem|einer|im|zur|zum|le|la|les|un|une|du|el|los|las|una|del)\s+$", re.I)
+TITLE = re.compile(r"\b(?:mr|mrs|ms|miss|dr|prof|herrn?|frau|mme|sra?|señora?)\.?\s+$", re.I)
+OPENING = re.compile(r"(?:^|[.!?。！？:|>]|\n)[\s\W]*$")
 HINTS = {
     "id": r"ssn|social|passport|identity|tax|documento|ausweis|证件|id\b|form use|dni|nino", "phone": r"phone|tel|call|number|numéro|电话|ring|mobile|erreichbar|fax", "name": r"name|llamo|appelle|heiße|mr|dr|from|with|regards|mention|cc|author|我叫|收件人|联系人|both|ask|it's|applicant|belongs|wrote|row \d",
     "place": r"address|living|live|vivo|wohne|adresse|ship|parcel|visit|寄到|moved", "mail": r"mail|reach|write|cc|from|author|delivery|escríbeme|ou|<", "not": r"isbn|order|invoice|build|epoch|checksum|version|coordinates|offset|commit|request|clone|git|npm|root|listening|section|took|line|lists|pass|limit|exit|code|port|ip",
@@ -62,8 +89,33 @@ FORMS = [re.compile(p) for p in (r"\d{10}", r"\d{5} \d{3} \d{3}", r"\+\d{2} \d \
 KNOWN = frozenset(GIVEN + FAMILY)
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Overlapping spans with their types."""
+def mentions(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of capitalised words and initials (without ordinary words), rows' name fields, and runs that a Chinese surname leads."""
+    for run in RUN.finditer(text):
+        parts: list[list[tuple[int, int]]] = [[]]
+        for m in TOKEN.finditer(text, run.start(), run.end()):
+            if m.group().lower() in ORDINARY:
+                parts.append([])
+            else:
+                parts[-1].append(m.span())
+        for own in parts:
+            for i in range(len(own)):  # every stretch of up to three words, as a run may hold more than the name
+                for j in range(i, min(i + 3, len(own))):
+                    if own[j][1] - own[j][0] > 2 or text[own[j][1] - 1] != ".":
+                        if own[j][1] - own[i][0] > 1:
+                            yield own[i][0], own[j][1]
+    for pattern in FIELDS:
+        for m in pattern.finditer(text):
+            words = [w.span() for w in re.finditer(WORD, m.group())]
+            if words and m.group()[slice(*words[0])].lower() in ORDINARY:
+                continue
+            yield m.span()
+            if len(words) > 1 and words[-1][1] == len(m.group()):  # the first word alone, as the next may be of the sentence
+                yield m.start(), m.start() + words[0][1]
+
+
+def candidates(text: str) -> list[tuple[int, int, str, bool]]:
+    """Overlapping spans with their types, and whether only ``mentions`` has them."""
     low = text.lower()
     digits = any(c.isdigit() for c in text)
     out = set()
@@ -72,24 +124,31 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             continue
         for m in pattern.finditer(text):
             out.add((m.start(), m.end(), kind))
-    return sorted(out)
+    more = {(s, e, "person") for s, e in mentions(text)} - out
+    return sorted([(*c, False) for c in out] + [(*c, True) for c in more])
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     own, left, right = text[start:end], text[max(0, start - 28) : start], text[end : end + 16]
     words = re.findall(WORD, own.lower().replace("’", "'"))
     digits = sum(c.isdigit() for c in own)
+    known = sum(w in KNOWN for w in words)
+    person = kind == "person"
     return [
-        TYPES.index(kind), len(own), digits, digits / len(own), len(words), sum(w in KNOWN for w in words), sum(c.isupper() for c in own), own[0].isupper(), "@" in own, " at " in own.lower(), bool(re.search(r"dot", own, re.I)), "+" in own, "(" in own, "," in own, "\n" in own,
+        TYPES.index(kind), len(own), digits, digits / len(own), len(words), known, sum(c.isupper() for c in own), own[0].isupper(), "@" in own, " at " in own.lower(), bool(re.search(r"dot", own, re.I)), "+" in own, "(" in own, "," in own, "\n" in own,
         max((i + 1 for i, f in enumerate(FORMS) if f.fullmatch(own)), default=0), right[:1] in ":/", right[:1].isalnum(), left[-1:].isalnum(), left[-1:] in "/#=._-", left[-1:] in "<(:", right[:2] in ("'s", "’s"), bool(re.match(r"\s*(theme|service|job|gem|map|parser)", right)), own.lower().startswith(("git@", "root@")), bool(re.match(r"\s*(wants|signed|wrote|and |to approve|about|<|;|,\w|\)|'s|’s|。|，)", right)), bool(re.search(r"市", own)),
         *(bool(h.search(left)) for h in HINT), *(bool(h.search(left[-9:])) for h in HINT), bool(re.search(CODE, own)), own.count("."),
+        person * (len(words) - known - len(re.findall(r"\b[^\W\d_]\.", own))), person and bool(ARTICLE.search(left)), person and bool(TITLE.search(left)), person and bool(OPENING.search(left)),
+        person and right[:1] in ",;)<" or right[:1] == "", person and bool(re.match(r"\s+[A-ZÀ-Þ]", right)), person and bool(re.search(r"[A-ZÀ-Þ][\w'’.-]*\s$", left)), person and own.isupper(), person and "一" <= own[0] <= "鿿", person and bool(re.match(r"[;,](?:[A-Z+(]{0,2}\d|[\w.+-]+@)|\s*[<(]\S+@", right)),
     ]
 
 
-def _person(r: random.Random) -> str:
+def _person(r: random.Random, strange_share: float) -> str:
     strange = lambda: r.choice("bdfgklmnprstv").upper() + "".join(r.choice("aeiou") + r.choice("lmnrstk") for _ in range(r.randint(1, 3)))
-    g, f = (strange(), strange()) if r.random() < 0.15 else (r.choice(GIVEN).title(), "-".join(p.capitalize() for p in r.choice(FAMILY).split("-")))
+    g, f = (strange(), strange()) if r.random() < strange_share else (r.choice(GIVEN).title(), "-".join(p.capitalize() for p in r.choice(FAMILY).split("-")))
     out = r.choice([f"{g} {f}", f"{g} {f}", g, f, f"{g[0]}. {f}", f"{g} {f[0]}. {f}"])
+    if strange_share > 0.15 and r.random() < 0.06:
+        return r.choice(CHINESE) if r.random() < 0.3 else r.choice(SURNAMES) + "".join(r.choice("明华丽强敏静磊洋艳勇杰娟涛超霞平刚桂英文") for _ in range(r.randint(1, 2)))
     return r.choice([out, out, out, out.upper(), out.lower(), f"{f.upper()}, {g}" if len(out) > 12 else out])
 
 
@@ -97,8 +156,8 @@ def _fill(r: random.Random, shape: str) -> str:
     return "".join(r.choice("0123456789") if c == "#" else r.choice("ABCXYZL") if c == "A" else c for c in shape)
 
 
-def compose(seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Labelled sentences: (text, spans)."""
+def compose(seed: int = 3, wide: bool = False) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Labelled sentences: (text, spans); wide: with more kinds of sentences, half of the names unlisted."""
     r = random.Random(seed)
     phones = ("##########", "##### ### ###", "+## # ## ## ## ##", "###.###.####", "+## ## ##### ###", "###-###-####", "(###) ### ####", "+###########", "###/########", "## ## ## ## ##", "+## #### ######", "+# (###) ###-####", "### #### ####", "+#‑###‑###‑####")
     numbers = ("A#######", "########A", "### ## ####", "## ### ### ###", "###-##-####", "QQ ## ## ## A", "A##A#####", "QQ######A", "##################", "#################X")
@@ -116,12 +175,17 @@ def compose(seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
         out = r.choice([f"{n} {street} Road, {town}, QX{r.randint(1, 20)} {r.randint(1, 9)}ZZ", f"{n} {street} Avenue", f"{n} {street} St, Apt {r.randint(1, 40)}B, {town}, ZY 00{r.randint(100, 999)}", f"Flat {r.randint(1, 40)}, {n} {street} Terrace, {town}", f"{n} rue de la Tour, 00{r.randint(100, 999)} Valmont", f"Ahornstraße {n}, 00{r.randint(100, 999)} Neudorf", f"Calle del Sol {n}, 3º A, 00{r.randint(100, 999)} Villa", f"云渡市柳桥路{n}号1单元{n}室", f"{n} {street} Avenue\n{town}, ZY 00{r.randint(100, 999)}"])
         return out.lower() if r.random() < 0.3 and "ZY" not in out else out
 
-    make = {"person": lambda: _person(r), "phone": lambda: _fill(r, r.choice(phones)), "id_number": lambda: _fill(r, r.choice(numbers)), "email": mail, "address": place}
+    make = {"person": lambda: _person(r, 0.5 if wide else 0.15), "phone": lambda: _fill(r, r.choice(phones)), "id_number": lambda: _fill(r, r.choice(numbers)), "email": mail, "address": place}
     good = ("My name is {person} and my number is {phone}.", "From: {person} <{email}>", "Call {phone} after six and mention {person}.", "the passport {id_number} belongs to {person}", "SSN on file: {id_number}", "{person},{email},{id_number}", "row 4: {person};{id_number};{phone}", "Regards,\n{person}\n{address}\nTel. {phone}", "New address since Monday: {address}.", "Ship it to {address}, please.", "Vivo en {address}, escríbeme a {email}.", "{person}'s laptop is here", "both {person} and {person} signed", "I spoke with {person} about it.", "Ask {person} to approve it, phone {phone}.", "mailto:{email}?subject=hi", "{phone} ({person})", "Visit us: {address} (ring {phone})", "{person}", "我叫{person}，电话是{phone}。", "证件号码{id_number}，联系人{person}。", "请寄到{address}，收件人{person}。", "Dr. {person}", "Meine Nummer ist {id_number}, erreichbar unter {phone}.", "Reach me at {email} if it stalls.", '{{"contact":"{person}","mail":"{email}","phone":"{phone}"}}', "— {person} wants the summary.")
+    good_wide = ("{person} opened the ticket on Monday.", "We met {person} and {person} at the desk.", "Yesterday {person} asked for the log.", "signed-off-by: {person} <{email}>", "The patch by {person} was merged.", "Maybe {person} knows why it stalls.", "INFO session opened by {person} at 10:42", "Best,\n{person}", "{person}, {phone}", "Mr. {person} called about the lease.", "Frau {person} hat angerufen.", "Gestern hat {person} den Bericht geprüft.", "La demande vient de {person}.", "Habla con {person} mañana.", "联系人：{person}，电话{phone}。", "请找{person}说明。", "assigned to {person} (was: {person})",
+        "Je m'appelle {person}, mon adresse est {address}.", "Me llamo {person} y mi documento es {id_number}.", "Ich heiße {person} und wohne in {address}.", "The applicant is {person}, passport {id_number}.", "it's {person}, write to {email}", "On Friday {person} wrote:", "{id_number} belongs to {person}", "Tel. {phone} ({person})", "{person}'s laptop holds the copy")
     bad = ("epoch 17########", "checksum ################", "ISBN #-##-######-#", "order ###-####-## was archived", "build 2024####.#####", "git clone git@forge.example:team/relay.git", "root@worker-#:~# uptime", "icon@2x.png is missing", "npm install @amber/panel@2.###.1", "coordinates 51.######, -0.######", "request id ########-####a-9c1e", "invoice INV-######", "listening on 10.0.###.7:####", "commit ####### touches 4", "version 10.###.09 of the driver", "see section 12 of the Main Road map parser", "the Mercury avenue theme", "offset 0x########", "It took ### ms, then ## ms and ### rows", "I looked at example.com today", "line ## of docs/recall.md")
+    bad_wide = ("The Report lists ### rows.", "Der Grenzwert steigt von ## auf ###, die Sitzung und der Bericht bleiben.", "Nach ### Versuchen war die Warteschlange leer. Alte Einträge fehlen.", "Lane Report: the limit went up", "the Jenkins job and the Ruby gem", "Context compacted, Older sessions kept", "Install Visual Studio Code or Apache Spark first.", "He lives near Main Road in New Carrick.", "Build the Docker image, then push it to Harbor.", "Nothing was cached. Merci de vérifier. Ejecutamos todo.", "[INFO] Retention Sweep done", "ERROR Graph Builder: Timeout", "Python and Postgres share the Host.", "Meine Zusammenfassung nennt ### Treffer im Speicher.", "Prefiero respuestas cortas. Revisa por qué falla.", "Session Store, Outbox Writer; Claim Writer", "Release Notes for Lower Tamsin", "高级设置，任务列表。", "方法，程序和任务的日志。", "{{\"Status\":\"Ready\",\"Kind\":\"Episode\"}}", "Restart Redis, Kafka and Nginx.", "Pull Request #### by the Bot", "Le Rapport contient ### lignes. Pourquoi attend-il?", "| Name | Kind | Count |", "Windhover Terrace is closed")
+    if wide:
+        good, bad = good + good_wide, bad + bad_wide
     out = []
-    for _ in range(SENTENCES):
-        if r.random() < 0.35:
+    for _ in range(SENTENCES + wide * 600):
+        if r.random() < (0.42 if wide else 0.35):
             out.append((_fill(r, r.choice(bad).replace("A", "\x00")).replace("\x00", "A"), []))
             continue
         text, spans = "", []
@@ -173,14 +237,19 @@ class Boosted:
         return z
 
 
-def train() -> tuple[Boosted, list[float]]:
-    """The trees, and per type the threshold with the best F1 on sentences that were held out."""
+#: Features of the spans of the generators; the last ones concern further mentions of persons.
+PLAIN = -10
+
+
+def _trained(wide: bool) -> tuple[Boosted, list[float]]:
+    """Trees, and per type the threshold with the best F1 on sentences that were held out."""
     def table(seed: int):
         x, y, k = [], [], []
-        for text, spans in compose(seed):
-            for c in candidates(text):
-                x.append(features(text, *c)), y.append(c in spans), k.append(TYPES.index(c[2]))
-        return np.array(x, float), np.array(y, float), np.array(k)
+        for text, spans in compose(seed, wide):
+            for *c, mention in candidates(text):
+                if wide or not mention:
+                    x.append(features(text, *c)), y.append(tuple(c) in spans), k.append(TYPES.index(c[2]))
+        return np.array(x, float)[:, : None if wide else PLAIN], np.array(y, float), np.array(k)
 
     x, y, _ = table(3)
     model = Boosted(x, y)
@@ -194,18 +263,38 @@ def train() -> tuple[Boosted, list[float]]:
     return model, limits
 
 
-def found(texts: list[str | None], model: Boosted, limits: list[float]) -> list[list[tuple[int, int, str]]]:
-    """Spans of each text; of overlapping ones e-mails come first, then addresses, then the better score."""
-    rows, x = [], []
+class Model:
+    """Two sets of trees with their thresholds: for the spans of the generators, and for further mentions of persons."""
+
+    def __init__(self):
+        self.plain, self.limits = _trained(False)
+        self.wide, limits = _trained(True)
+        self.wide_limit = limits[TYPES.index("person")]
+
+    def score(self, x: np.ndarray, mention: np.ndarray) -> np.ndarray:
+        """Scores less their thresholds, so that spans over 0 are kept."""
+        out = np.empty(len(x))
+        out[mention] = self.wide.score(x[mention]) - self.wide_limit
+        own = x[~mention]
+        out[~mention] = self.plain.score(own[:, :PLAIN]) - np.array(self.limits)[own[:, 0].astype(int)]
+        return out
+
+
+train = Model
+
+
+def found(texts: list[str | None], model: Model) -> list[list[tuple[int, int, str]]]:
+    """Spans of each text; of overlapping ones e-mails come first, then addresses, then the generators' persons of several words, then the longer person or the better score."""
+    rows, x, mention = [], [], []
     for i, t in enumerate(texts):
-        for c in candidates(t) if t else ():
-            rows.append((i, *c)), x.append(features(t, *c))
+        for *c, m in candidates(t) if t else ():
+            rows.append((i, *c)), x.append(features(t, *c)), mention.append(m)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if not rows:
         return out
-    z = model.score(np.array(x, float))
-    keep = [(i, s, e, k, v) for (i, s, e, k), v in zip(rows, z) if v > limits[TYPES.index(k)]]
-    for i, s, e, k, _ in sorted(keep, key=lambda r: (r[0], {"email": 0, "address": 1}.get(r[3], 2), -(r[2] - r[1]) if r[3] == "person" else 0, -r[4], r[1])):
+    z = model.score(np.array(x, float), np.array(mention))
+    keep = [(i, s, e, k, v, m or " " not in texts[i][s:e]) for (i, s, e, k), v, m in zip(rows, z, mention) if v > 0]
+    for i, s, e, k, *_ in sorted(keep, key=lambda r: (r[0], {"email": 0, "address": 1}.get(r[3], 2), r[5] if r[3] == "person" else False, -(r[2] - r[1]) if r[3] == "person" else 0, -r[4], r[1])):
         if all(e <= a or s >= b for a, b, _ in out[i]):
             out[i].append((s, e, k))
     return [sorted(o) for o in out]
@@ -219,12 +308,12 @@ def detected(events: DataFrame) -> DataFrame:
 
     Rows without an id are no events; null and empty texts have no spans; a text is worked on whole.
     """
-    model, limits = kept("personal model", train)
+    model = kept("personal model", train)
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start_rune", pa.int32()), ("end_rune", pa.int32()), ("pii_type", pa.string())]))
         for b in batches:
-            got = found(b.column(2).to_pylist(), model, limits)
+            got = found(b.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[{"start_rune": s, "end_rune": e, "pii_type": k} for s, e, k in o] for o in got], kind)], ["event_id", "created_at", "spans"])
 
     rows = events.where("event_id is not null").select("event_id", "created_at", "content").mapInArrow(detect, SPANS)
@@ -237,12 +326,12 @@ def spans(events: DataFrame) -> DataFrame:
 
 def redacted(events: DataFrame) -> DataFrame:
     """``event_id, created_at, content`` of every delivery, each span replaced by its type in brackets, all other text unchanged."""
-    model, limits = kept("personal model", train)
+    model = kept("personal model", train)
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            for i, own in enumerate(found(texts, model, limits)):
+            for i, own in enumerate(found(texts, model)):
                 for s, e, k in reversed(own):
                     texts[i] = f"{texts[i][:s]}[{k.upper()}]{texts[i][e:]}"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["event_id", "created_at", "content"])
