@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import clean_key
 from threadloom.operators.lineage import checkpointed, written
+from threadloom.operators.windows import parted, running
 
 OUT = "context_id string, parent_id string, root_id string, depth int, path array<string>, n_descendants bigint, pre_order bigint, last_order bigint, cycle_id string, back_edge boolean"
 
@@ -34,30 +34,35 @@ def last_parents(contexts: DataFrame) -> DataFrame:
 
 
 def components(parents: DataFrame) -> DataFrame:
-    """``context_id, parent_id, component_id, in_tree, depth``: the root's id for trees, the smallest id on the cycle for the rest.
+    """``context_id, parent_id, component_id, in_tree, depth, on_cycle``: the root's id for trees, the smallest id on the cycle for the rest.
 
-    After k rounds a node points 2**k parents up. Rounds end when no node is left that has not met a root, or when 2**k
-    is at least their number: then each of them points onto its cycle and has seen all of it.
+    After k rounds a node points 2**k parents up, and those of a depth under 2**k have met their root. Rounds end when no node is left
+    that has not; or when a round changed nothing (a deeper node of a tree would have one of each smaller depth above it) and 2**k is
+    at least the number of the rest: then each of them points onto its cycle and has seen all of it.
     """
     start = parents.withColumn("up", F.coalesce("parent_id", "context_id")).select("context_id", "parent_id", "up", F.col("parent_id").isNull().alias("done"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.least("context_id", "up").alias("least"))
     state = checkpointed(start)
-    k = 0
+    k, before = 0, -1
     while True:
         open_nodes = state.where(~F.col("done")).count()
-        if open_nodes == 0 or 2**k >= open_nodes:
+        if open_nodes == 0 or open_nodes == before and 2**k >= open_nodes:
             break
+        before = open_nodes
         up = state.select(F.col("context_id").alias("u"), F.col("up").alias("u_up"), F.col("done").alias("u_done"), F.col("depth").alias("u_depth"), F.col("least").alias("u_least"))
         moved = state.where(~F.col("done")).join(up, F.col("up") == F.col("u")).select("context_id", "parent_id", F.col("u_up").alias("up"), F.col("u_done").alias("done"), (F.col("depth") + F.col("u_depth")).alias("depth"), F.least("least", "u_least").alias("least"))
         state = checkpointed(state.where("done").unionByName(moved))
         k += 1
     if open_nodes == 0:
-        return state.select("context_id", "parent_id", F.col("up").alias("component_id"), F.col("done").alias("in_tree"), "depth")
+        return state.select("context_id", "parent_id", F.col("up").alias("component_id"), F.col("done").alias("in_tree"), "depth", F.lit(False).alias("on_cycle"))
+    # far enough up every open node is on its cycle, and each node of a cycle is that far above one of them
     on = state.where(~F.col("done")).select(F.col("context_id").alias("u"), F.col("least").alias("cycle"))
-    return state.join(on, state.up == on.u, "left").select("context_id", "parent_id", F.when(F.col("done"), F.col("up")).otherwise(F.col("cycle")).alias("component_id"), F.col("done").alias("in_tree"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+    members = state.where(~F.col("done")).select(F.col("up").alias("member")).distinct()
+    named = state.join(on, state.up == on.u, "left").join(members, state.context_id == members.member, "left")
+    return named.select("context_id", "parent_id", F.when(F.col("done"), F.col("up")).otherwise(F.col("cycle")).alias("component_id"), F.col("done").alias("in_tree"), F.when(F.col("done"), F.col("depth")).alias("depth"), F.col("member").isNotNull().alias("on_cycle"))
 
 
-def walk(ids: list[str], parents: list[str | None]) -> list[tuple]:
-    """Depth-first walk of whole components, iterative, with node colouring.
+def walk(ids: list[str], parents: list[str | None]) -> Iterator[tuple]:
+    """Depth-first walk of whole components, iterative, with node colouring; rows come as nodes are finished, so that no more than a node's own path is held.
 
     White nodes are unseen, grey ones on the present chain, black ones finished; a parent link to a grey node is a back
     edge and closes a cycle. Children are taken in order of their id. Rows: as OUT.
@@ -79,41 +84,51 @@ def walk(ids: list[str], parents: list[str | None]) -> list[tuple]:
         if x >= 0 and colour[x] == 1:
             ring = chain[chain.index(x) :]
             name = min(ids[j] for j in ring)
-            back[ring[-1]] = True
+            for j in ring:  # the link that closes the cycle in a walk from its smallest member
+                back[j] = ids[up[j]] == name
         elif x >= 0:
             name = cycle[x]
         for j in chain:
             colour[j], cycle[j] = 2, name
-    rows: list = [None] * len(ids)
     clock = 0
     for root in sorted((i for i in range(len(ids)) if up[i] < 0), key=ids.__getitem__):
         path: list[str] = []
-        stack = [(root, 0)]
+        stack = [(root, -1)]
         while stack:
-            i, state = stack.pop()
-            if state:
+            i, pre = stack.pop()
+            if pre >= 0:
+                yield (ids[i], parents[i], ids[root], len(path) - 1, list(path), clock - 1 - pre, pre, clock - 1, None, False)
                 path.pop()
-                pre = rows[i][6]
-                rows[i] = (*rows[i][:5], clock - 1 - pre, pre, clock - 1, None, False)
                 continue
             path.append(ids[i])
-            rows[i] = (ids[i], parents[i], ids[root], len(path) - 1, list(path), 0, clock, 0, None, False)
+            stack.append((i, clock))
             clock += 1
-            stack.append((i, 1))
-            stack.extend((c, 0) for c in reversed(children[i]))
-    for i, r in enumerate(rows):
-        if r is None:
-            rows[i] = (ids[i], parents[i], None, None, None, None, None, None, cycle[i], back[i])
-    return rows
+            stack.extend((c, -1) for c in reversed(children[i]))
+    for i, name in enumerate(cycle):
+        if name is not None:
+            yield (ids[i], parents[i], None, None, None, None, None, None, name, back[i])
+
+
+#: Rows, and path entries, of a batch that a walk hands on.
+ROWS, ENTRIES = 10_000, 1_000_000
 
 
 def _walk_groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one partition hold whole components: they are walked together, in runs of bounded length."""
+    """Rows of one partition hold whole components, each walked on its own; results are handed on in batches of bounded size."""
     names = [x.split()[0] for x in OUT.split(", ")]
     whole = pd.concat(list(parts) or [pd.DataFrame({"component_id": [], "context_id": [], "parent_id": []})])
+    out: list[tuple] = []
+    entries = 0
     for _, own in whole.groupby("component_id", sort=True):
         up = [None if p is None or p != p else p for p in own["parent_id"]]
-        yield pd.DataFrame(walk(own["context_id"].tolist(), up), columns=names)
+        for row in walk(own["context_id"].tolist(), up):
+            out.append(row)
+            entries += row[3] or 0
+            if len(out) >= ROWS or entries >= ENTRIES:
+                yield pd.DataFrame(out, columns=names)
+                out, entries = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=names)
 
 
 def hierarchy(contexts: DataFrame, max_component: int = 1_000_000) -> DataFrame:
@@ -122,10 +137,10 @@ def hierarchy(contexts: DataFrame, max_component: int = 1_000_000) -> DataFrame:
     ``context_id, parent_id`` (cleaned; null for a root), ``root_id``, ``depth`` (0 at a root), ``path`` (root first),
     ``n_descendants``, ``[pre_order, last_order]`` (a context's descendants are the contexts of its root whose ``pre_order`` lies
     in ``(pre_order, last_order]``), ``cycle_id`` (smallest id of the cycle that the context lies on or runs into; then there is no
-    root, path or depth) and ``back_edge`` (the link that closes a cycle in the walk).
+    root, path or depth) and ``back_edge`` (the link that closes a cycle: that to its smallest member).
 
-    Components of up to ``max_component`` contexts are walked in one task each; a larger one is worked out by doubling,
-    without pre-order numbers. Null, blank, repeated and uneven ids: see ``last_parents``. An empty table gives no rows.
+    Components of up to ``max_component`` contexts are walked in one task each; a larger one is worked out by doubling, with
+    the same result. Null, blank, repeated and uneven ids: see ``last_parents``. An empty table gives no rows.
     """
     nodes = written(components(last_parents(contexts)))
     sizes = nodes.groupBy("component_id").count().where(F.col("count") > max_component).select("component_id")
@@ -150,10 +165,16 @@ def _doubled(nodes: DataFrame) -> DataFrame:
             break
         above = state.select(F.col("context_id").alias("u"), F.col("up").alias("u_up"), F.col("piece").alias("u_piece"))
         state = state.join(above, state.up == above.u, "left").select("context_id", F.col("u_up").alias("up"), F.when(F.col("u").isNull(), F.col("piece")).otherwise(F.concat("u_piece", "piece")).alias("piece"))
+    state = state.drop("up")
     below = state.select(F.explode("piece").alias("context_id")).groupBy("context_id").agg((F.count("*") - 1).alias("n_descendants"))
+    # a node comes after its parent and the smaller siblings' subtrees; a parent's children are summed over parts
+    sized = tree.select("context_id", "parent_id").join(below, "context_id")
+    placed = running(parted(sized, "parent_id", "context_id"), "parent_id", ("context_id",), F.col("n_descendants") + 1, "upto")
+    step = written(placed.select(F.col("context_id").alias("on_path"), F.when(F.col("parent_id").isNull(), 0).otherwise(F.col("upto") - F.col("n_descendants")).alias("step")))
+    order = state.select("context_id", F.explode("piece").alias("on_path")).join(step, "on_path").groupBy("context_id").agg(F.sum("step").alias("pre_order"))
     none = lambda kind: F.lit(None).cast(kind)
-    paths = tree.join(state, "context_id").join(below, "context_id").select("context_id", "parent_id", F.col("component_id").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.col("piece").alias("path"), "n_descendants", none("bigint").alias("pre_order"), none("bigint").alias("last_order"), none("string").alias("cycle_id"), F.lit(False).alias("back_edge"))
-    rest = nodes.where(~F.col("in_tree")).select("context_id", "parent_id", none("string").alias("root_id"), none("int").alias("depth"), none("array<string>").alias("path"), none("bigint").alias("n_descendants"), none("bigint").alias("pre_order"), none("bigint").alias("last_order"), F.col("component_id").alias("cycle_id"), (F.col("parent_id") == F.col("component_id")).alias("back_edge"))
+    paths = tree.join(state, "context_id").join(below, "context_id").join(order, "context_id").select("context_id", "parent_id", F.col("component_id").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.col("piece").alias("path"), "n_descendants", "pre_order", (F.col("pre_order") + F.col("n_descendants")).alias("last_order"), none("string").alias("cycle_id"), F.lit(False).alias("back_edge"))
+    rest = nodes.where(~F.col("in_tree")).select("context_id", "parent_id", none("string").alias("root_id"), none("int").alias("depth"), none("array<string>").alias("path"), none("bigint").alias("n_descendants"), none("bigint").alias("pre_order"), none("bigint").alias("last_order"), F.col("component_id").alias("cycle_id"), (F.col("on_cycle") & (F.col("parent_id") == F.col("component_id"))).alias("back_edge"))
     return paths.unionByName(rest)
 
 
@@ -163,6 +184,14 @@ def descendants(tree: DataFrame) -> DataFrame:
     return up.where(F.col("at") < F.col("depth")).select("context_id", "descendant_id", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
 
 
+def cycles(contexts: DataFrame, max_component: int = 1_000_000) -> DataFrame:
+    """``context_id, cycle_id`` of the contexts without a root. Components with a root have no cycle and are not walked, so no path is built."""
+    nodes = written(components(last_parents(contexts)).where(~F.col("in_tree")))
+    large = checkpointed(nodes.groupBy("component_id").count().where(F.col("count") > max_component).select("component_id"))
+    walked = cycle_members(_walked(nodes.join(large, "component_id", "left_anti")))
+    return walked.unionByName(nodes.join(large, "component_id", "left_semi").select("context_id", F.col("component_id").alias("cycle_id")))
+
+
 def cycle_members(tree: DataFrame) -> DataFrame:
     """``context_id, cycle_id`` of the contexts without a root."""
     return tree.where(F.col("cycle_id").isNotNull()).select("context_id", "cycle_id")

@@ -85,13 +85,6 @@ def dense_topk(spark, d):
     return e.join(F.broadcast(q)).select("vec_id", F.round(dot, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(128)
 
 
-@query("SELECT user_id, island, count(*) AS n FROM (SELECT user_id, event_id, sum(CASE WHEN prev IS DISTINCT FROM event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS island FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY ALL")
-def consecutive_groups(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = t(spark, d, "events").withColumn("prev", F.lag("event_type").over(w)).withColumn("island", F.sum((~F.col("prev").eqNullSafe(F.col("event_type"))).cast("bigint")).over(w))
-    return e.groupBy("user_id", "island").agg(F.count("*").alias("n"))
-
-
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS r FROM events) WHERE r <= 2")
 def cap_per_key(spark, d):
     w = W.partitionBy("user_id").orderBy(F.desc("value"), "ts", "event_id")

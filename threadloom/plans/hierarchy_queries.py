@@ -10,7 +10,7 @@ from threadloom.sources.tables import table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.cycle_members(H.hierarchy(table(spark, sf_dir, "contexts")))
+    return H.cycles(table(spark, sf_dir, "contexts"))
 
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,9 @@
-"""Further queries: text normalization, windows, retention, sampling, graph edges."""
+"""Further queries: text normalization."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.operators import search
 from threadloom.sources.tables import table as t
 
 QUERIES, SQL = {}, {}
@@ -33,42 +31,3 @@ def normalized_keys(spark, d):
 @query("SELECT doc_id, CASE WHEN length(text) > 240 THEN substr(text, 1, 240) || '...' ELSE text END AS preview FROM documents WHERE text IS NOT NULL")
 def clamped_texts(spark, d):
     return t(spark, d, "documents").where("text is not null").select("doc_id", F.when(F.length("text") > 240, F.concat(F.substring("text", 1, 240), F.lit("..."))).otherwise(F.col("text")).alias("preview"))
-
-
-@query("SELECT user_id, event_id, sum(length(props)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS end_offset FROM events")
-def running_offsets(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return t(spark, d, "events").select("user_id", "event_id", F.sum(F.length("props")).over(w).cast("bigint").alias("end_offset"))
-
-
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM events) WHERE a <= 2 OR b <= 3")
-def head_tail_limit(spark, d):
-    up, down = W.partitionBy("user_id").orderBy("ts", "event_id"), W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return t(spark, d, "events").select("user_id", "event_id", F.row_number().over(up).alias("a"), F.row_number().over(down).alias("b")).where("a <= 2 or b <= 3").select("user_id", "event_id")
-
-
-@query("SELECT user_id, event_id, floor((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 5)::BIGINT AS commit_no FROM events")
-def turn_windows(spark, d):
-    return t(spark, d, "events").select("user_id", "event_id", F.floor((F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1) / 5).alias("commit_no"))
-
-
-@query("SELECT doc_id, resource_kind FROM (SELECT doc_id, resource_kind, row_number() OVER (PARTITION BY resource_kind ORDER BY sha256(coalesce(resource_kind, '') || chr(0) || doc_id), doc_id) AS n FROM documents) WHERE n <= 7")
-def stratified_sample(spark, d):
-    key = F.sha2(F.concat(F.coalesce("resource_kind", F.lit("")), F.lit("\0"), F.col("doc_id").cast("string")), 256)
-    return search.ranked(t(spark, d, "documents").select("doc_id", "resource_kind"), "resource_kind", 7, key, F.col("doc_id"))
-
-
-@query("SELECT space, doc_id FROM (SELECT space, doc_id, created_at, row_number() OVER w AS n, sum(coalesce(n_chars, 0)) OVER w AS bytes, max(created_at) OVER () AS newest FROM documents WINDOW w AS (PARTITION BY space ORDER BY created_at DESC, doc_id ROWS UNBOUNDED PRECEDING)) WHERE n > 50 OR bytes > 100000")
-def retention_plan(spark, d):
-    w = W.partitionBy("space").orderBy(F.desc_nulls_last("created_at"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = t(spark, d, "documents").select("space", "doc_id", "created_at", "n_chars").withColumn("n", F.row_number().over(W.partitionBy("space").orderBy(F.desc_nulls_last("created_at"), "doc_id"))).withColumn("bytes", F.sum(F.coalesce("n_chars", F.lit(0))).over(w))
-    return rows.where("n > 50 or bytes > 100000").select("space", "doc_id")
-
-
-@query("SELECT source, target, max(weight) AS weight FROM (SELECT event_id AS source, context_id AS target, 1.0::DOUBLE AS weight FROM ledger_events WHERE coalesce(context_id, '') <> '' UNION ALL SELECT context_id, event_id, 1.0 FROM ledger_events WHERE coalesce(context_id, '') <> '' UNION ALL SELECT event_id, node_id, 0.8 FROM node_sources UNION ALL SELECT node_id, event_id, 0.8 FROM node_sources) GROUP BY ALL")
-def graph_edges(spark, d):
-    a = t(spark, d, "ledger_events").where("context_id <> ''").select(F.col("event_id").alias("source"), F.col("context_id").alias("target"), F.lit(1.0).alias("weight"))
-    b = t(spark, d, "node_sources").select(F.col("event_id").alias("source"), F.col("node_id").alias("target"), F.lit(0.8).alias("weight"))
-    one = a.unionByName(b)
-    both = one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
-    return both.groupBy("source", "target").agg(F.max("weight").alias("weight"))
