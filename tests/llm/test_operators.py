@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from threadloom.llm import abuse, conversations, mixing, neighbours, packing, personal
 
@@ -86,3 +87,10 @@ def test_abuse():
     weights, bias = abuse.train([("You are a horrible idiot. The build ran.", 1), ("The build ran. The lease expired.", 0)] * 3)
     bad, good, none = abuse.text_scores(["The lease expired. y0u a r e a horrible 1diot", "The lease expired.", None], weights, bias)
     assert bad > good and none == -np.inf
+
+
+def test_large_items_close_their_bins_at_once(spark):
+    """Items of over half the capacity fit no bin together: no group grows beyond a block."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start_rune"), F.lit(1).cast("long").alias("end_rune"), (510 + F.col("id") % 390).alias("tokens"))
+    got = packing.packed(df, 1000, block=2000)
+    assert got.count() == 20_000 and got.select("bin_id").distinct().count() == 20_000

@@ -4,7 +4,8 @@ Items are dealt to blocks of bounded size by hash. A block starts from
 best-fit decreasing and then searches locally: it moves and exchanges items
 (one for one, two for one) from its emptiest bin into fuller ones, each step raising
 the sum of squared fills, until the bin is empty or nothing helps. The items
-of bins left underfull meet again in coarser blocks, level by level.
+of bins that some open item would still fit meet again in new blocks of the same
+size, level by level, as long as that pays.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 from threadloom.llm.tokens import VOCABULARY, encoder
 from threadloom.operators.lineage import written
 
-#: Items of a block, blocks that meet on the next level, and the fill under which a bin is opened again there.
-BLOCK, FAN, FULL = 8192, 64, 0.97
-#: Emptiest bins tried in a row without success before a block is done, and rounds over the other bins in one try.
-PATIENCE, ROUNDS = 3, 3
+#: Items of a block (about; they are dealt by hash), the fill from which a bin is closed at once, and the share of open items that a level must place for another to follow.
+BLOCK, FULL, PAYS = 8192, 0.97, 0.1
+#: Emptiest bins tried in a row without success before a block is done. A try itself goes on until nothing helps.
+PATIENCE = 4
 
 ITEM = "doc_id bigint, piece_no int, start_rune bigint, end_rune bigint, tokens bigint"
 
@@ -106,10 +107,10 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def emptied(a: list[int], others: list[list[int]], fill: dict[int, int], sizes: list[int], capacity: int) -> bool:
     """Tries to empty bin ``a`` into ``others`` by moves and exchanges, each raising the sum of squared fills; True if it is empty.
 
-    Every exchange gives the fuller bin more than it takes from it. A try ends after ROUNDS rounds over the others: what is left to gain by then is little.
+    Every exchange gives the fuller bin more than it takes from it, so a try comes to an end.
     """
     order = sorted(range(len(others)), key=lambda b: -fill[b])
-    for _ in range(ROUNDS):
+    while True:
         changed = False
         for b in order:
             room = capacity - fill[b]
@@ -189,15 +190,16 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _filler(capacity: int, base: int, full: float | None):
-    """Packs a block; bins under ``full`` stay open (-1) where there is a next level."""
+def _filler(capacity: int, base: int, smallest: int | None, full: float):
+    """Packs a block. A bin stays open (-1) for the next level if it is under ``full`` and has room for an item of ``smallest`` size; None: none stays open."""
 
     def fill(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["doc_id", "piece_no", "start_rune"]).reset_index(drop=True)
         sizes = own["tokens"].tolist()
         place = [-1] * len(own)
         for n, b in enumerate(pack(sizes, capacity)):
-            if full is None or sum(sizes[i] for i in b) >= full * capacity:
+            used = sum(sizes[i] for i in b)
+            if smallest is None or used >= full * capacity or capacity - used < smallest:
                 for i in b:
                     place[i] = base + (int(own["block"].iloc[0]) << 20) + n
         return own.assign(bin_id=place)
@@ -205,23 +207,28 @@ def _filler(capacity: int, base: int, full: float | None):
     return fill
 
 
-def packed(all_items: DataFrame, capacity: int, block: int = BLOCK, fan: int = FAN, full: float = FULL) -> DataFrame:
-    """Each item with its ``bin_id``; a bin's tokens are within the capacity. Equal sizes and repeated rows are told apart by their numbers; no items give no rows."""
+def packed(all_items: DataFrame, capacity: int, block: int = BLOCK, full: float = FULL) -> DataFrame:
+    """Each item with its ``bin_id``; a bin's tokens are within the capacity. Equal sizes and repeated rows are told apart by their numbers; no items give no rows.
+
+    Each level deals the open items to as many blocks as keep them at ``block`` items, and closes bins that nothing open fits. The last level is
+    the one whose items fit one block, or the one after a level that placed less than PAYS of its items; it closes all bins.
+    """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
     rest = written(all_items)
-    blocks = max(1, -(-rest.count() // block))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks)))
-    done, level = None, 0
+    done, level, before = None, 0, 0
     while True:
-        last = blocks == 1
-        got = written(rest.groupBy("block").applyInPandas(_filler(capacity, level << 56, None if last else full), ITEM + ", block bigint, bin_id bigint"))
+        count, smallest = rest.agg(F.count("*"), F.min("tokens")).first()  # two numbers
+        blocks = max(1, -(-count // block))
+        last = blocks == 1 or level > 0 and count > (1 - PAYS) * before
+        before = count
+        dealt = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(level)), F.lit(blocks)))
+        got = written(dealt.groupBy("block").applyInPandas(_filler(capacity, level << 56, None if last else smallest, full), ITEM + ", block bigint, bin_id bigint"))
         now = got.where("bin_id >= 0").drop("block")
         done = now if done is None else done.unionByName(now)
         if last:
             return done
-        blocks = -(-blocks // fan)
-        rest = got.where("bin_id < 0").drop("bin_id").withColumn("block", F.floor(F.col("block") / fan))
+        rest = got.where("bin_id < 0").drop("bin_id", "block")
         level += 1
 
 
