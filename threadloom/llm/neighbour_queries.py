@@ -23,4 +23,10 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours}
-SQL: dict[str, str] = {}
+#: Brute force over all pairs (the forest has one leaf at sf0.01, where it is compared).
+_NEAR = """WITH u AS (SELECT event_id, any_value(dense_fp16)::DOUBLE[] AS v FROM event_vectors WHERE event_id IS NOT NULL AND len(dense_fp16) = 128 AND NOT list_has_any(dense_fp16, ['nan'::FLOAT, 'inf'::FLOAT, '-inf'::FLOAT]) AND len(list_filter(dense_fp16, lambda x: x <> 0)) > 0 GROUP BY event_id),
+p AS (SELECT a.event_id AS a, b.event_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM u a JOIN u b ON a.event_id <> b.event_id), n AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM p QUALIFY r <= 5) """
+SQL = {
+    "p3_found": _NEAR + "SELECT DISTINCT least(a, b) AS event_id_a, greatest(a, b) AS event_id_b FROM n",
+    "p3_neighbours": _NEAR + "SELECT a AS event_id, r::INTEGER AS rank, b AS neighbour_id, c AS cosine FROM n",
+}

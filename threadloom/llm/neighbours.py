@@ -33,6 +33,10 @@ LEAF, LEAF_SAMPLE, BLOCK = 1000, 12, 32_768
 BOUGH, BOUGH_ROWS = 32, 32_000
 #: Rows up to which the list of left-out copies is broadcast.
 FEW = 200_000
+#: Leaves of a large leaf's own forest that are probed for a vector.
+WITHIN = 6
+#: Parts over which the smallest ids of a vector with many copies are found.
+SALT = 64
 #: Copies of one vector that take part in the search; the rest get their lists from the copies' (see ``nearest``).
 COPIES = 6
 
@@ -45,6 +49,11 @@ def pack(x: np.ndarray) -> list[bytes]:
     return [half[i].tobytes() if exact[i] else x[i].tobytes() for i in range(len(x))]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to [0.5, 1): exact, and vectors of one direction and such lengths become equal."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None]).astype(np.float32)
+
+
 def unpack(rows, dim: int) -> np.ndarray:
     out = np.empty((len(rows), dim), np.float32)
     lengths = np.fromiter((len(r) for r in rows), np.int64, len(rows))
@@ -57,7 +66,7 @@ def unpack(rows, dim: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, dim: int, id_column: str = "event_id", vector_column: str = "dense_fp16") -> DataFrame:
-    """``id, vec`` of the rows with an id and ``dim`` finite components that are not all zero."""
+    """``id, vec`` of the rows with an id and ``dim`` finite components that are not all zero; ``vec`` is scaled (see there), which changes no cosine."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,7 +79,7 @@ def usable(vectors: DataFrame, dim: int, id_column: str = "event_id", vector_col
             values = lists.values.to_numpy(zero_copy_only=False).astype(np.float32)
             x = values[lists.offsets.to_numpy()[:-1][take][:, None] + np.arange(dim)]
             good = np.isfinite(x).all(1) & (x != 0).any(1)
-            take, x = take[good], x[good]
+            take, x = take[good], scaled(x[good])
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), pa.array(pack(x), pa.binary())], ["id", "vec"])
 
     return vectors.select(F.col(id_column).cast("string").alias("id"), F.col(vector_column).cast("array<float>").alias("v")).mapInArrow(packed, "id string, vec binary")
@@ -214,17 +223,14 @@ def best_of_block(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def _blocks(ids: np.ndarray, x: np.ndarray) -> Iterator[np.ndarray]:
-    """Row numbers of the parts in which a leaf is compared: all of it, or the leaves of two small forests if it is large."""
+    """Row numbers of the parts in which a leaf is compared: all of it, or the leaves of a small forest of its own with WITHIN probes if it is large. A part that its trees can't split (all but equal vectors) is compared whole."""
     if len(ids) <= BLOCK:
         yield np.arange(len(ids))
         return
     u = unit(x)
-    for seed in (1, 2):
-        leaf = Forest([Tree(u, BLOCK, np.random.default_rng(seed))]).probe(u, 1)[:, 0]
-        for own in range(leaf.max() + 1):
-            rows = np.flatnonzero(leaf == own)
-            for a in range(0, len(rows), 2 * BLOCK):  # a leaf of equal vectors can't be split: by id
-                yield rows[a : a + 2 * BLOCK]
+    leaves = Forest([Tree(u, BLOCK // 4, np.random.default_rng(seed)) for seed in (1, 2)]).probe(u, WITHIN)
+    for own in np.unique(leaves[leaves >= 0]):
+        yield np.flatnonzero((leaves == own).any(1))
 
 
 def nearest(vectors: DataFrame, rows: int, k: int = 5, dim: int = 128, id_column: str = "event_id", vector_column: str = "dense_fp16", trees: int = TREES, probes: int | None = None, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
@@ -244,9 +250,15 @@ def nearest(vectors: DataFrame, rows: int, k: int = 5, dim: int = 128, id_column
     bough = max(1, min(BOUGH, BOUGH_ROWS * forest.leaves // (len(forest.roots) * max(1, rows))))
     # keys stand for the vectors, so that what is left out is found without shuffling any vector
     keyed = every.select("id", F.unhex(F.md5("vec")).alias("key"))
-    by_id = keyed.withColumn("nth", F.dense_rank().over(W.partitionBy("id").orderBy("key"))).withColumn("row", F.row_number().over(W.partitionBy("id").orderBy("key")))
-    ranked = by_id.where("nth = 1 and row = 1").withColumn("copy", F.row_number().over(W.partitionBy("key").orderBy("id")))
-    left_out = written(ranked.where(F.col("copy") > copies).select("id", "key", F.lit(True).alias("copied")).unionByName(by_id.where("nth > 1").select("id", "key", F.lit(False).alias("copied")).distinct()))
+    per = written(keyed.groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("last")))
+    several = per.where("key < last").select("id", F.col("key").alias("first"))
+    others = keyed.join(several, "id").where("key <> first").select("id", "key", F.lit(False).alias("copied")).distinct()
+    many = per.groupBy("key").count().where(F.col("count") > copies).select("key")
+    # of a key with many ids the smallest are found over parts first, so no task gets all of them
+    salt = W.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(SALT))).orderBy("id")
+    heavy = per.select("id", "key").join(F.broadcast(many) if many.limit(FEW + 1).count() <= FEW else many, "key", "left_semi")
+    least = heavy.withColumn("n", F.row_number().over(salt)).where(F.col("n") <= copies).withColumn("copy", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("copy") <= copies)
+    left_out = written(heavy.join(least.select("id", "key"), ["id", "key"], "left_anti").select("id", "key", F.lit(True).alias("copied")).unionByName(others))
     out = left_out.count()
     searched = every
     if out:
