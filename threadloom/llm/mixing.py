@@ -23,6 +23,8 @@ from threadloom.operators.lineage import written
 
 #: Undecided records of so many partitions meet in a node of the reduction tree.
 FAN = 32
+#: Records of a part.
+PART_ROWS = 100_000
 #: Fractions nearer to a whole number than this count as whole.
 TINY = 1e-9
 
@@ -35,13 +37,14 @@ def targets(mix_targets: DataFrame) -> DataFrame:
     return ok.where("source is not null and target_share > 0 and target_share < double('infinity')").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
 
 
-def plan(totals: list[tuple[str, int, float, int]]) -> dict[str, float]:
-    """Copies of each record by source, from (source, tokens, share, repeats): the largest mixture in which every source has its share exactly."""
+def plan(totals: list[tuple[str, int, float, int]], size: int | None = None) -> dict[str, float]:
+    """Copies of each record by source, from (source, tokens, share, repeats): the largest mixture in which every source has its share exactly, of ``size`` tokens at most where given."""
     own = [(s, n, share, r) for s, n, share, r in totals if n]
     if not own:
         return {}
     whole = sum(share for _, _, share, _ in own)
-    size = min(n * r * whole / share for _, n, share, r in own)
+    most = min(n * r * whole / share for _, n, share, r in own)
+    size = most if size is None else min(most, size)
     out = {}
     for s, n, share, r in own:
         c = size * share / whole / n
@@ -108,15 +111,16 @@ def _meeter(last: bool):
     return meet
 
 
-def mixture(records: DataFrame, mix: DataFrame) -> DataFrame:
+def mixture(records: DataFrame, mix: DataFrame, size: int | None = None) -> DataFrame:
     """``doc_id, source, tokens, copies`` of the records in the mixture, from ``doc_id, source, tokens`` and cleaned targets.
 
     Each source's tokens are within one record of its target; no record has more copies than its source's ``max_repeats``. Records
-    without a source, with a source that has no target, or without tokens stay out. The random choices depend only on the rows' layout.
+    without a source, with a source that has no target, or without tokens stay out. The mixture is as large as the scarcest source allows, or of
+    ``size`` tokens. Records are dealt by their id to parts of PART_ROWS, so the random choices do not depend on how files lie.
     """
     kept = written(records.where("tokens > 0").join(F.broadcast(mix.select("source")), "source", "left_semi"))
     totals = kept.groupBy("source").agg(F.sum("tokens").alias("n")).join(F.broadcast(mix), "source").select("source", "n", "target_share", "max_repeats").collect()  # a row per target
-    copies = plan([tuple(r) for r in totals])
+    copies = plan([tuple(r) for r in totals], size)
 
     def pivot(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -156,8 +160,9 @@ def mixture(records: DataFrame, mix: DataFrame) -> DataFrame:
         if held:
             yield pd.DataFrame(held, columns=["doc_id", "source", "tokens", "copies", "open", "part"])
 
-    width = kept.rdd.getNumPartitions()
-    rows = written(kept.select("doc_id", "source", "tokens").mapInPandas(pivot, ROW))
+    width = max(1, -(-kept.count() // PART_ROWS))
+    dealt = kept.select("doc_id", "source", "tokens").repartition(width, "doc_id").sortWithinPartitions("doc_id", "source", "tokens")
+    rows = written(dealt.mapInPandas(pivot, ROW))
     done, rest = rows.where("open = 0"), rows.where("open > 0")
     while True:
         last = width <= FAN
