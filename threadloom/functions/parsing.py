@@ -42,7 +42,7 @@ READING = ("git status", "git log", "git diff", "git show", "git branch", "go ve
 
 def command_risk(c: Column) -> Column:
     """safe, needs permission or dangerous, of a shell command: the worst of its pipeline's parts; anything that is not known to read needs leave."""
-    parts = F.transform(F.split(F.trim(c), r"\|\|?|&&|;"), F.trim)
+    parts = F.transform(F.split(F.trim(c), r"\|\|?|&&|;"), lambda p: F.trim(p))
     first = lambda p: F.substring_index(p, " ", 1)
     two = lambda p: F.substring_index(p, " ", 2)
     dangerous = c.rlike(r"(^|[\s|;&])(sudo|doas|mkfs\S*|dd)\b|\brm\s+-\w*[rf]|\$\(|`|>\s*/dev/|\bIFS=")

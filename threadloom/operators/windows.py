@@ -37,7 +37,7 @@ def running(parts: DataFrame, key: str, order: tuple[str, ...], value: Column, n
 def previous(parts: DataFrame, key: str, order: tuple[str, ...], column: str, name: str) -> DataFrame:
     """The column's value in the row before, also across parts."""
     w = W.partitionBy(key, "_part").orderBy(*order)
-    last = parts.groupBy(key, "_part").agg(F.max(F.struct(*order, column))[column].alias("_last"))
+    last = parts.groupBy(key, "_part").agg(F.max(F.struct(*order, F.col(column).alias("_c")))["_c"].alias("_last"))
     across = last.select(key, "_part", F.lag("_last").over(W.partitionBy(key).orderBy("_part")).alias("_carry"))  # a row per key and part
     own = parts.withColumn("_lag", F.lag(column).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     joined = own.alias("r").join(across.alias("c"), F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}")) & (F.col("r._part") == F.col("c._part")))

@@ -38,7 +38,7 @@ def turns(nested: DataFrame, key: str, sessions: str, dates: str) -> DataFrame:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, line_no`` (from 1)``, line`` of text files. A file is one row until it is split, so files are to be of moderate size."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("i", "line")).select("path", (F.col("i") + 1).alias("line_no"), "line")
 
 
