@@ -78,9 +78,10 @@ def index_lag(spark, d):
     return t(spark, d, "contexts").groupBy("space").agg((F.max("ledger_seq") - F.coalesce(F.max(F.when(F.col("closed_at").isNotNull(), F.col("ledger_seq"))), F.lit(0))).alias("lag"))
 
 
-@query("""WITH s AS (SELECT coalesce(nullif(trim(resource_kind), ''), 'unknown') AS resource_kind, doc_id FROM documents), c AS (SELECT resource_kind, count(*) AS n FROM s GROUP BY resource_kind), k AS (SELECT count(*) AS k, least(97, sum(n)) AS size FROM c),
-q AS (SELECT resource_kind, n, least(97 // k, n) AS base FROM c, k), l AS (SELECT *, row_number() OVER (ORDER BY n - base DESC, resource_kind) AS o FROM q), x AS (SELECT resource_kind, base + (o <= (SELECT size FROM k) - (SELECT sum(base) FROM q))::INTEGER AS quota FROM l)
-SELECT s.resource_kind, s.doc_id FROM s JOIN x USING (resource_kind) QUALIFY row_number() OVER (PARTITION BY s.resource_kind ORDER BY sha256('sample' || chr(0) || s.resource_kind || chr(0) || doc_id), doc_id) <= any_value(quota) OVER (PARTITION BY s.resource_kind)""")
+@query("""WITH RECURSIVE s AS (SELECT coalesce(nullif(trim(resource_kind), ''), 'unknown') AS resource_kind, doc_id FROM documents), c AS (SELECT resource_kind, count(*) AS n FROM s GROUP BY resource_kind), k AS (SELECT count(*) AS k, least(97, sum(n)) AS size FROM c),
+x AS (SELECT resource_kind, n, least(97 // k, n)::BIGINT AS q, (size - sum(least(97 // k, n)) OVER ())::BIGINT AS rest, 0 AS r FROM c, k
+UNION ALL SELECT resource_kind, n, q + (q < n AND row_number() OVER (ORDER BY (q < n) DESC, n - q DESC, resource_kind) <= rest)::BIGINT, (rest - least(rest, sum((q < n)::INTEGER) OVER ()))::BIGINT, r + 1 FROM x WHERE rest > 0), y AS (SELECT resource_kind, q FROM x WHERE r = (SELECT max(r) FROM x))
+SELECT s.resource_kind, s.doc_id FROM s JOIN y USING (resource_kind) QUALIFY row_number() OVER (PARTITION BY s.resource_kind ORDER BY sha256('sample' || chr(0) || s.resource_kind || chr(0) || doc_id), doc_id) <= any_value(q) OVER (PARTITION BY s.resource_kind)""")
 def stratified_documents(spark, d):
     return V.stratified(t(spark, d, "documents"), "resource_kind", "doc_id", 97, "sample")
 
