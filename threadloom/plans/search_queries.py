@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import ledger as L
 from threadloom.operators import search as S
 from threadloom.operators import selection as X
+from threadloom.operators.lineage import written
 from threadloom.plans.ledger_queries import LIVE_SQL
 from threadloom.plans.registration import registered
 from threadloom.plans.scalar_queries import _trim
@@ -36,9 +37,9 @@ def _lengths(live):
     return live.where("content is not null").select("event_id", F.size(S.tokens(F.col("content"))).alias("dl"))
 
 
-def _bm25(spark, d):
+def _bm25(spark, d, index=None):
     live = _live(spark, d)
-    return S.scored(S.postings(live, "event_id", "content"), _asked(spark), _lengths(live), "event_id")
+    return S.scored(S.postings(live, "event_id", "content") if index is None else index, _asked(spark), _lengths(live), "event_id")
 
 
 @query(f"WITH {LIVE_SQL}, {_POST} SELECT term, event_id, tf, dl::INTEGER AS dl FROM postings")
@@ -62,8 +63,8 @@ def query_term_weights(spark, d):
     return S.term_weights(S.postings(live, "event_id", "content"), _asked(spark), live, "event_id")
 
 
-def _weights(spark, d, live):
-    return S.term_weights(S.postings(live, "event_id", "content"), _asked(spark), live, "event_id")
+def _weights(spark, d, live, index=None):
+    return S.term_weights(S.postings(live, "event_id", "content") if index is None else index, _asked(spark), live, "event_id")
 
 
 _COVER = f"WITH {LIVE_SQL}, {_ASKED_SQL}, {_POST}, {_WEIGHTS}, cover AS (SELECT query_id, event_id, round(sum(weight) / any_value(total), 6) AS coverage FROM postings JOIN weights USING (term) JOIN (SELECT query_id, sum(weight) AS total FROM weights GROUP BY query_id) USING (query_id) GROUP BY query_id, event_id)"
@@ -109,11 +110,11 @@ def facet_topk(spark, d):
 _POOL = f"{_BM25}, {_SPARSE}, ch AS (SELECT query_id, 'fts' AS channel, event_id AS id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, event_id) AS rank FROM bm) WHERE rank <= 128 UNION ALL SELECT query_id, 'sparse', event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, event_id) AS rank FROM sp) WHERE rank <= 128)"
 
 
-def _channels(spark, d, live):
+def _channels(spark, d, live, index=None):
     from pyspark.sql import Window as W
 
     out = None
-    for name, rows in (("fts", _bm25(spark, d)), ("sparse", _sparse(spark, live))):
+    for name, rows in (("fts", _bm25(spark, d, index)), ("sparse", _sparse(spark, live))):
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "event_id"))
         own = rows.withColumn("rank", rank).where("rank <= 128").select("query_id", F.lit(name).alias("channel"), F.col("event_id").alias("id"), "rank")
         out = own if out is None else out.unionByName(own)
@@ -129,9 +130,10 @@ _BLEND = _POOL + f", {_WEIGHTS}, cover AS (SELECT query_id, event_id AS id, roun
 
 
 def _blend(spark, d):
-    live = _live(spark, d)
-    cover = S.coverage(live, _weights(spark, d, live), "event_id", "content").withColumnRenamed("event_id", "id")
-    return S.blended(_channels(spark, d, live), cover)
+    live = written(_live(spark, d))  # read by every channel
+    index = written(S.postings(live, "event_id", "content"))
+    cover = S.coverage(live, _weights(spark, d, live, index), "event_id", "content").withColumnRenamed("event_id", "id")
+    return S.blended(_channels(spark, d, live, index), cover)
 
 
 @query(_BLEND + " SELECT query_id, id, score FROM blend")
