@@ -8,6 +8,7 @@ from threadloom.operators import ledger as L
 from threadloom.operators import search as S
 from threadloom.operators import selection as X
 from threadloom.operators.lineage import written
+from threadloom.operators.walk import event_walk
 from threadloom.plans.ledger_queries import LIVE_SQL
 from threadloom.plans.registration import registered
 from threadloom.plans.scalar_queries import _trim
@@ -183,9 +184,15 @@ def graph_components(spark, d):
 
 @query()
 def graph_pagerank(spark, d):
-    """The walk from the best events of the queries; no SQL, as it is iterated (tested against a dense product)."""
-    seeds = S.ranked(_bm25(spark, d), "query_id", 16, F.desc("score"), F.col("event_id")).groupBy(F.concat(F.lit("event:"), "event_id").alias("id")).agg(F.max("score").alias("weight"))
-    return S.pagerank(_graph(spark, d), seeds, rounds=10)
+    """The walk from the best events of the queries; no SQL, as it is iterated (tested against ``search.pagerank`` and a dense product)."""
+    claims = t(spark, d, "node_sources").where("event_id is not null and node_id is not null").groupBy("event_id").agg(F.collect_set("node_id").alias("claims"))
+    events = _live(spark, d).select("event_id", "context_id", S.tokens(F.col("content")).alias("terms"), F.lit(True).alias("live"))
+    docs = written(events.join(claims.hint("shuffle_hash"), "event_id", "full"), freed=True)
+    texts = docs.where("live and terms is not null").select("event_id", F.size("terms").alias("dl"), F.filter("terms", lambda x: x.isin(*{w for _, w in _TERMS})).alias("hits"))
+    index = texts.select("event_id", "dl", "hits", F.explode(F.array_distinct("hits")).alias("term")).select("term", "event_id", F.size(F.filter("hits", lambda x: x == F.col("term"))).alias("tf"), "dl")
+    best = S.ranked(S.scored(index, _asked(spark), texts, "event_id"), "query_id", 16, F.desc("score"), F.col("event_id"))
+    seeds = written(best.groupBy("event_id").agg(F.max("score").alias("weight")), freed=True)
+    return event_walk(docs, docs.where("live").count(), seeds, rounds=10)
 
 
 @query("SELECT query_id, doc_id, round(avg(s), 6) AS score FROM (SELECT q.query_id, q.q_no, v.context_id AS doc_id, max(list_inner_product(q.q, v.v)) AS s FROM (SELECT 'a' AS query_id, row_number() OVER (ORDER BY event_id) AS q_no, dense_fp16::DOUBLE[] AS q FROM (SELECT DISTINCT event_id, dense_fp16 FROM event_vectors WHERE len(dense_fp16) = 128 AND event_id IN (SELECT min(event_id) FROM event_vectors WHERE len(dense_fp16) = 128 UNION SELECT max(event_id) FROM event_vectors WHERE len(dense_fp16) = 128))) q, (SELECT context_id, dense_fp16::DOUBLE[] AS v FROM event_vectors WHERE len(dense_fp16) = 128 AND context_id <> '' AND NOT list_has_any(dense_fp16, ['nan'::FLOAT, 'inf'::FLOAT, '-inf'::FLOAT])) v GROUP BY ALL) GROUP BY query_id, doc_id".replace("GROUP BY ALL", "GROUP BY q.query_id, q.q_no, v.context_id"))
