@@ -1,4 +1,6 @@
 import math
+import random
+import time
 from datetime import datetime
 
 import numpy as np
@@ -84,6 +86,23 @@ def test_selection(spark):
     assert one(spark, X.taken_in_order(a("x", "y", "z"), a(9, 9, 1), 10, 5)) == ["x", "z"]
 
 
+def test_level_of_many_needs(spark):
+    """One key of 6,000 rows and small ones against the definition, in time; no pass over the needs for each need."""
+    rng = random.Random(5)
+    keys = {"hot": [rng.randrange(0, 900) if i % 40 == 0 else 0 for i in range(6000)], "over": [500], "none": [0, 0], "below": [-7, -3], "mixed": [-100, 500, 30, 30, 200]} | {f"k{i}": [rng.randrange(-3, 250) for _ in range(rng.randrange(1, 12))] for i in range(60)}
+    want = {}
+    for k, needs in keys.items():
+        level = max(x for x in range(201) if sum(min(n, x) for n in needs) <= 200)
+        want[k] = (sum(min(n, level) for n in needs), max(min(n, level) for n in needs))
+    df = spark.createDataFrame([(k, n) for k, needs in keys.items() for n in needs], "k string, n int").cache()
+    assert {r["k"]: (r["spent"], r["level"]) for r in X.level_totals(df, "k", "n", 200).collect()} == want
+    began = time.time()
+    shares = df.groupBy("k").agg(F.collect_list("n").alias("n")).select("k", X.level_shares(F.col("n"), 200).alias("s")).collect()
+    assert time.time() - began < 15
+    assert {r["k"]: (sum(r["s"]), max(r["s"])) for r in shares} == want
+    assert one(spark, X.level_shares(F.array().cast("array<int>"), 9)) == []
+
+
 def test_windows_over_parts(spark):
     df = spark.createDataFrame([("hot" if i % 3 else "k", i, i % 7 < 3) for i in range(200)], "k string, i int, f boolean")
     parts = V.parted(df, "k", "i")

@@ -96,18 +96,36 @@ def next_fit(costs: Column, capacity: int, most: int) -> Column:
 
 
 def level_shares(needs: Column, total: int) -> Column:
-    """Equal shares of a total: the level L (in whole units) of which the sum of min(need, L) is the greatest not over it; each gets min(need, L).
+    """Equal shares of a total: the level L (in whole units) of which the sum of min(need, L) is the greatest not over it; each gets min(need, L). A null need is none.
 
-    Found by bisection over the levels, in the JVM.
+    One pass in the JVM over the needs in order: the smallest that fit in full, then the rest in equal parts.
     """
-    spent = lambda level: F.aggregate(needs, F.lit(0).cast("bigint"), lambda s, n: s + F.least(n.cast("bigint"), level))
-    top = F.least(F.lit(total).cast("bigint"), F.coalesce(F.array_max(needs).cast("bigint"), F.lit(0).cast("bigint")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("lo"), top.alias("hi"))
+    own = F.transform(needs, lambda n: F.coalesce(n.cast("bigint"), F.lit(0).cast("bigint")))
+    ordered = F.transform(F.array_sort(own), lambda n: F.struct(n.alias("need"), F.lit(1).cast("bigint").alias("n"), n.alias("whole")))
+    return F.flatten(F.transform(F.array(_level(ordered, total)["level"]), lambda level: F.transform(own, lambda n: F.least(n, level))))  # the level is worked out once, not for each need
 
-    def halve(a: Column, _: Column) -> Column:
-        mid = F.ceil((a["lo"] + a["hi"]) / 2).cast("bigint")
-        fits = spent(mid) <= total
-        return F.struct(F.when(fits, mid).otherwise(a["lo"]).alias("lo"), F.when(fits, a["hi"]).otherwise(F.greatest(a["lo"], mid - 1)).alias("hi"))
 
-    level = F.aggregate(F.sequence(F.lit(1), F.lit(40)), zero, halve)["lo"]
-    return F.transform(needs, lambda n: F.least(n.cast("bigint"), level))
+def _level(needs: Column, total: int) -> Column:
+    """``spent, level``: of needs in ascending order (``need``, how many have it ``n``, their sum ``whole``) the sum of min(need, L) and the greatest min(need, L)."""
+    big = lambda x: F.lit(x).cast("bigint")
+    zero = F.struct(big(0).alias("full"), F.aggregate(needs, big(0), lambda s, r: s + r["n"]).alias("left"), big(None).alias("top"))
+
+    def step(a: Column, r: Column) -> Column:
+        fits = (r["need"] <= 0) | ((r["need"] <= total) & (a["full"] + r["need"] * a["left"] <= total))  # where one does not fit, no greater one does
+        return F.struct(F.when(fits, a["full"] + r["whole"]).otherwise(a["full"]).alias("full"), F.when(fits, a["left"] - r["n"]).otherwise(a["left"]).alias("left"), F.when(fits, r["need"]).otherwise(a["top"]).alias("top"))
+
+    def end(a: Column) -> Column:
+        rest = F.least(big(total), F.floor((total - a["full"]) / a["left"]).cast("bigint"))
+        return F.struct(F.when(a["left"] > 0, a["full"] + rest * a["left"]).otherwise(a["full"]).alias("spent"), F.when(a["left"] > 0, rest).otherwise(a["top"]).alias("level"))
+
+    return F.aggregate(needs, zero, step, end)
+
+
+def level_totals(rows: DataFrame, key: str, need: str, total: int) -> DataFrame:
+    """``key, spent, level``: of the shares of each key's rows as by ``level_shares`` the sum and the greatest. Needs are not null.
+
+    Rows are counted by need before they meet (those over the total are one count, those below zero another), so a key of any size comes to ``total`` + 3 counts.
+    """
+    n = F.least(F.col(need).cast("bigint"), F.lit(total + 1).cast("bigint"))
+    counts = rows.select(key, n.alias("_need")).groupBy(key, F.greatest("_need", F.lit(-1).cast("bigint")).alias("_bucket")).agg(F.max("_need").alias("need"), F.count("*").alias("n"), F.sum("_need").alias("whole"))
+    return counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("need", "n", "whole"))).alias("_needs")).select(key, F.inline(F.array(_level(F.col("_needs"), total))))

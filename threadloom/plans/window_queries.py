@@ -280,9 +280,12 @@ def last_checkpoints(spark, d):
 _BATCHES = f"WITH {LIVE_SQL}, b AS (SELECT context_id, list({{'o': occurred_at, 'e': event_id, 't': token_estimate}} ORDER BY occurred_at, event_id) AS x FROM live WHERE context_id <> '' AND token_estimate IS NOT NULL AND occurred_at IS NOT NULL GROUP BY context_id)"
 
 
+def _estimated(spark, d):
+    return L.live(t(spark, d, "ledger_events"), "context_id", "occurred_at", "token_estimate").where("context_id <> '' and token_estimate is not null and occurred_at is not null")
+
+
 def _batches(spark, d):
-    rows = L.live(t(spark, d, "ledger_events"), "context_id", "occurred_at", "token_estimate").where("context_id <> '' and token_estimate is not null and occurred_at is not null")
-    return rows.groupBy("context_id").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "event_id", "token_estimate"))).alias("x"))
+    return _estimated(spark, d).groupBy("context_id").agg(F.array_sort(F.collect_list(F.struct("occurred_at", "event_id", "token_estimate"))).alias("x"))
 
 
 @query(_BATCHES + " SELECT context_id, e.e AS event_id, bin::INTEGER AS bin FROM (WITH RECURSIVE f AS (SELECT context_id, 1 AS i, x[1].t AS used, 1 AS n, 0 AS bin FROM b UNION ALL SELECT f.context_id, f.i + 1, CASE WHEN f.used + b.x[f.i + 1].t > 400 OR f.n >= 8 THEN b.x[f.i + 1].t ELSE f.used + b.x[f.i + 1].t END, CASE WHEN f.used + b.x[f.i + 1].t > 400 OR f.n >= 8 THEN 1 ELSE f.n + 1 END, f.bin + (f.used + b.x[f.i + 1].t > 400 OR f.n >= 8)::INTEGER FROM f JOIN b USING (context_id) WHERE f.i < len(b.x)) SELECT f.context_id, b.x[f.i] AS e, f.bin FROM f JOIN b USING (context_id))")
@@ -295,8 +298,7 @@ def packed_tasks(spark, d):
 @query(_BATCHES + ", n AS (SELECT context_id, x, (SELECT max(l) FROM range(0, 201) r(l) WHERE (SELECT sum(least(y.t, l)) FROM (SELECT unnest(x) AS y)) <= 200) AS level FROM b) SELECT context_id, sum(least(y.t, level))::BIGINT AS spent, max(least(y.t, level))::BIGINT AS level FROM (SELECT context_id, unnest(x) AS y, level FROM n) GROUP BY context_id")
 def level_budgets(spark, d):
     """200 tokens of a context shared equally among its events; what a short one leaves goes to the rest."""
-    shares = _batches(spark, d).select("context_id", X.level_shares(F.transform("x", lambda r: r["token_estimate"]), 200).alias("s"))
-    return shares.select("context_id", F.aggregate("s", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("spent"), F.array_max("s").alias("level"))
+    return X.level_totals(_estimated(spark, d), "context_id", "token_estimate", 200)
 
 
 @query("SELECT node_id, event_id, CASE WHEN place = 1 THEN 500 - 36 * (n - 1) ELSE 36 END AS budget FROM (SELECT node_id, event_id, row_number() OVER (PARTITION BY node_id ORDER BY event_id, start_rune, end_rune) AS place, count(*) OVER (PARTITION BY node_id) AS n FROM node_sources WHERE event_id IS NOT NULL)")
