@@ -91,3 +91,28 @@ def test_a_giant_text_is_spread_over_tasks(spark):
     trimmed = text.strip()
     assert got[0]["start_rune"] == 0 and got[-1]["end_rune"] == len(trimmed)
     assert all(b["start_rune"] <= a["end_rune"] and trimmed[b["start_rune"] : b["end_rune"]] == b["text"] and len(b["text"]) <= 2304 for a, b in zip(got, got[1:]))
+
+
+def test_kinds_come_from_pieces_and_from_stretches(spark):
+    """Each alone tells the kinds of all texts, also where the pieces carry no texts."""
+    cap, rows = 40, [(str(i), t) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, "event_id string, content string")
+    split = S.split_ranges(df, cap, 10, range_runes=330, with_texts=False).cache()
+    whole = {i: t.strip(S.WHITE) for i, t in rows if len(t.strip(S.WHITE)) > cap * 3}
+    want = {i: "forced" if -(-longest(t) // 3) > cap else "natural" for i, t in whole.items()}
+    assert set(want.values()) == {"forced", "natural"}
+    assert split.where("exists(pieces, p -> p.text is not null)").count() == 0 and split.where("size(pieces) > 1").count() > 10
+    pieces_only = split.withColumns({c: F.lit(0).cast("bigint") for c in ("head", "inner", "tail")}).withColumn("whole", F.lit(False))
+    stretches_only = split.withColumn("pieces", F.transform("pieces", lambda p: p.withField("cut", F.lit("natural"))))
+    for given in (split, pieces_only, stretches_only):
+        assert {r["id"]: r["cut_kind"] for r in S.cut_kinds(given, cap).collect()} == want
+
+
+def test_a_piece_is_forced_only_in_a_long_stretch():
+    """Of many small texts, cut whole: a forced piece if and only if a stretch is over the capacity."""
+    rng = random.Random(11)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "a", "a", "b" * rng.randrange(1, 14), " ", "。", "  \n"]) for _ in range(rng.randrange(4, 40))).strip(S.WHITE)
+        capacity = rng.randrange(5, 13)
+        out = S.cut(S.kinds(text), 0, len(text), "end", capacity, rng.randrange(0, (capacity - 1) // 2 + 1)) if len(text) > capacity else []
+        assert not out or any(c == "forced" for _, _, c in out) == (longest(text) > capacity), text

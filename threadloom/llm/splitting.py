@@ -127,7 +127,7 @@ def ranges(rows: DataFrame, capacity_runes: int, overlap_runes: int, range_runes
     return cut_up.repartition("id", "range_no")
 
 
-def _splitter(capacity: int, overlap: int, with_pieces: bool):
+def _splitter(capacity: int, overlap: int, with_texts: bool):
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in parts:
             rows = []
@@ -144,12 +144,10 @@ def _splitter(capacity: int, overlap: int, with_pieces: bool):
                             return b
                     return at
 
-                pieces: list[dict] = []
-                if with_pieces:
-                    begin = anchor(halo) if halo else 0
-                    end = anchor(own_end) if more else own_end
-                    natural = kind[end - 1] != 0 or (end < len(kind) and kind[end] == 1)
-                    pieces = [{"start_rune": base + a, "end_rune": base + b, "cut": c, "text": text[a:b]} for a, b, c in cut(kind[:own_end], begin, end, ("natural" if natural else "forced") if more else "end", capacity, overlap)]
+                begin = anchor(halo) if halo else 0
+                end = anchor(own_end) if more else own_end
+                natural = kind[end - 1] != 0 or (end < len(kind) and kind[end] == 1)
+                pieces = [{"start_rune": base + a, "end_rune": base + b, "cut": c, "text": text[a:b] if with_texts else None} for a, b, c in cut(kind[:own_end], begin, end, ("natural" if natural else "forced") if more else "end", capacity, overlap)]
                 head, inner, tail, whole = stretches(kind[halo:own_end])
                 rows.append((id_, no, pieces, own_end - halo, head, inner, tail, whole))
             yield pd.DataFrame(rows, columns=["id", "range_no", "pieces", "runes", "head", "inner", "tail", "whole"])
@@ -164,12 +162,12 @@ def oversized(rows: DataFrame, capacity_tokens: int, id_column: str = "event_id"
     return over.groupBy("id").agg(F.max("text").alias("text"))
 
 
-def split_ranges(rows: DataFrame, capacity_tokens: int, overlap_tokens: int, id_column: str = "event_id", text_column: str = "content", range_runes: int = RANGE, with_pieces: bool = True) -> DataFrame:
-    """One row per range of each oversized item: its pieces (none without ``with_pieces``) and what stitching needs."""
+def split_ranges(rows: DataFrame, capacity_tokens: int, overlap_tokens: int, id_column: str = "event_id", text_column: str = "content", range_runes: int = RANGE, with_texts: bool = True) -> DataFrame:
+    """One row per range of each oversized item: its pieces (their texts null without ``with_texts``) and what stitching needs."""
     if capacity_tokens < 1 or not 0 <= overlap_tokens * 2 < capacity_tokens:
         raise ValueError("the capacity must be positive and more than twice the overlap")
     cap, over = capacity_tokens * RUNES_PER_TOKEN, overlap_tokens * RUNES_PER_TOKEN
-    return ranges(oversized(rows, capacity_tokens, id_column, text_column), cap, over, range_runes).mapInPandas(_splitter(cap, over, with_pieces), PIECES)
+    return ranges(oversized(rows, capacity_tokens, id_column, text_column), cap, over, range_runes).mapInPandas(_splitter(cap, over, with_texts), PIECES)
 
 
 def pieces(split: DataFrame) -> DataFrame:
@@ -184,12 +182,20 @@ def pieces(split: DataFrame) -> DataFrame:
 
 
 def cut_kinds(split: DataFrame, capacity_tokens: int) -> DataFrame:
-    """``id, cut_kind``: ``forced`` if a stretch without a boundary is over the capacity, else ``natural``."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("most"))
+    """``id, cut_kind``: ``forced`` if a stretch without a boundary is over the capacity, else ``natural``.
+
+    The ranges of a text are stitched in one fold: their pieces are numbered by prefix sums up to the first forced one, and stretches are
+    carried over the ranges' ends. A stretch over the capacity and a forced piece imply each other; either makes the text forced.
+    """
+    big = lambda x: F.lit(x).cast("bigint")
+    zero = F.struct(big(0).alias("run"), big(0).alias("most"), big(0).alias("before"), big(None).alias("first"))
 
     def step(a: Column, r: Column) -> Column:
         joined = a["run"] + F.when(r["whole"], r["runes"]).otherwise(r["head"])
-        return F.struct(F.when(r["whole"], joined).otherwise(r["tail"]).alias("run"), F.greatest(a["most"], joined, r["inner"], F.when(r["whole"], joined).otherwise(r["tail"])).alias("most"))
+        run = F.when(r["whole"], joined).otherwise(r["tail"])
+        return F.struct(run.alias("run"), F.greatest(a["most"], joined, r["inner"], run).alias("most"), (a["before"] + r["n"]).alias("before"), F.coalesce(a["first"], a["before"] + r["at"]).alias("first"))
 
-    folded = split.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("range_no", "runes", "head", "inner", "tail", "whole"))).alias("r")).select("id", F.aggregate("r", zero, step)["most"].alias("most"))
-    return folded.select("id", F.when(F.ceil(F.col("most") / RUNES_PER_TOKEN) > capacity_tokens, "forced").otherwise("natural").alias("cut_kind"))
+    at = F.array_position(F.transform("pieces", lambda p: p["cut"]), "forced")  # from 1, 0 without any
+    own = split.select("id", F.struct("range_no", "runes", "head", "inner", "tail", "whole", F.size("pieces").cast("bigint").alias("n"), F.nullif(at, big(0)).alias("at")).alias("r"))
+    folded = own.groupBy("id").agg(F.array_sort(F.collect_list("r")).alias("r")).select("id", F.inline(F.array(F.aggregate("r", zero, step))))
+    return folded.select("id", F.when(F.col("first").isNotNull() | (F.ceil(F.col("most") / RUNES_PER_TOKEN) > capacity_tokens), "forced").otherwise("natural").alias("cut_kind"))

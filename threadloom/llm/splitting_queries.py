@@ -9,12 +9,13 @@ from threadloom.llm import splitting as S
 from threadloom.sources.tables import table
 
 
-def _split(spark: SparkSession, sf_dir: str, with_pieces: bool = True) -> tuple[DataFrame, int]:
+def _split(spark: SparkSession, sf_dir: str, with_texts: bool = True) -> tuple[DataFrame, int]:
     limit = table(spark, sf_dir, "size_limits").where("limit_name = 'semantic_chunk'").first()
-    return S.split_ranges(table(spark, sf_dir, "event_vectors"), limit["capacity_tokens"], limit["overlap_tokens"], with_pieces=with_pieces), limit["capacity_tokens"]
+    return S.split_ranges(table(spark, sf_dir, "event_vectors"), limit["capacity_tokens"], limit["overlap_tokens"], with_texts=with_texts), limit["capacity_tokens"]
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole splitting without the pieces' texts: ranges with halos are cut, and their pieces and stretches stitched."""
     split, capacity = _split(spark, sf_dir, False)
     return S.cut_kinds(split, capacity).select(F.col("id").alias("event_id"), "cut_kind")
 
