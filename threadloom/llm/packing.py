@@ -1,9 +1,9 @@
 """Filling fixed-capacity containers with items.
 
 Items are dealt to blocks of bounded size by hash. A block starts from
-best-fit decreasing and then searches locally: it moves and exchanges items
-(one for one, two for one) from its emptiest bin into fuller ones, each step raising
-the sum of squared fills, until the bin is empty or nothing helps. The items
+best-fit decreasing and then searches locally: its emptiest bin shares its items with
+each other bin in turn so that the other becomes as full as any choice of their items
+makes it, until the bin is empty or no other bin can be filled further. The items
 of bins that some open item would still fit meet again in new blocks of the same
 size, level by level, as long as that pays.
 """
@@ -11,14 +11,16 @@ size, level by level, as long as that pays.
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.tokens import VOCABULARY, encoder
+from threadloom.llm.tokens import VOCABULARY, encoder, widths
 from threadloom.operators.lineage import written
 
 #: Items of a block (about; they are dealt by hash), the fill from which a bin is closed at once, and the share of open items that a level must place for another to follow.
@@ -29,16 +31,25 @@ PATIENCE = 4
 ITEM = "doc_id bigint, piece_no int, start_rune bigint, end_rune bigint, tokens bigint"
 
 
-def split_text(text: str, ids: list[int], capacity: int, enc) -> list[tuple[int, int, int]]:
+def split_text(text: str, ids: list[int], capacity: int, enc, width: np.ndarray) -> list[tuple[int, int, int]]:
     """(start_rune, end_rune, tokens) of pieces of at most ``capacity`` tokens, cut before white space where the last half of a piece has some, else between characters.
 
-    Each piece is counted as it stands; a cut that raises its count over the capacity moves back.
+    Each piece is counted as it stands; a cut that raises its count over the capacity moves back. No match of the tokenizer's pattern goes on from
+    another character into white space, nor looks back, so a piece between two such places has the tokens that the text has there; others are encoded again.
+    ``width``: the bytes of each token.
     """
     raw = text.encode("utf-8")
-    ends, at = [0], 0
-    for t in ids:
-        at += len(enc.decode_single_token_bytes(t))
-        ends.append(at)
+    ends = [0, *np.cumsum(width[ids]).tolist()]
+
+    def clean(j: int) -> bool:
+        if j in (0, n):
+            return True
+        at = ends[j]
+        low = at - 1
+        while raw[low] & 0xC0 == 0x80:
+            low -= 1
+        return raw[at : at + 1] in (b" ", b"\n", b"\t") and not raw[low:at].decode("utf-8").isspace()
+
     out, first, rune = [], 0, 0
     n = len(ids)
     while first < n:
@@ -53,7 +64,7 @@ def split_text(text: str, ids: list[int], capacity: int, enc) -> list[tuple[int,
                     cut = next((j for j in range(stop, n) if raw[ends[j]] & 0xC0 != 0x80), n)
                 stop = cut
             piece = raw[ends[first] : ends[stop]].decode("utf-8")
-            size = len(enc.encode_ordinary(piece))
+            size = stop - first if clean(first) and clean(stop) else len(enc.encode_ordinary(piece))
             if size <= capacity or len(piece) < 2:
                 break
             stop -= max(1, size - capacity)
@@ -71,12 +82,12 @@ def items(documents: DataFrame, capacity: int, path: str = VOCABULARY) -> DataFr
     """The texts as items: one each, or pieces of at most ``capacity`` tokens for a text above it. Texts without tokens are no items."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, width = encoder(path), widths(path)
         for b in batches:
             cols: list[list[int]] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = enc.encode_ordinary(text)
-                found = [(0, len(text), len(ids))] if len(ids) <= capacity else split_text(text, ids, capacity, enc)
+                found = [(0, len(text), len(ids))] if len(ids) <= capacity else split_text(text, ids, capacity, enc, width)
                 for i, (s, e, n) in enumerate(found):
                     for c, v in zip(cols, (doc, i, s, e, n)):
                         c.append(v)
@@ -104,65 +115,53 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def fullest(sizes: list[int], most: int) -> list[int]:
+    """Numbers of items whose sizes have the greatest sum within ``most``; earlier ones where there is a choice.
+
+    Sums that the items so far can have are the bits of an integer, of which one for each square root of the items is kept and the others are made again.
+    """
+    mask, step, bits = (1 << most + 1) - 1, math.isqrt(len(sizes)) + 1, 1
+    marks, n = [], 0
+    for n, size in enumerate(sizes):
+        if n % step == 0:
+            marks.append(bits)
+        if size <= most:
+            bits |= bits << size & mask
+        if bits >> most:
+            break
+    left, out = bits.bit_length() - 1, []
+    for k in range(len(marks) - 1, -1, -1):
+        part, states = range(k * step, min(n + 1, (k + 1) * step)), [marks[k]]
+        for i in part[:-1]:
+            states.append(states[-1] | states[-1] << sizes[i] & mask if sizes[i] <= most else states[-1])
+        for i, before in zip(reversed(part), reversed(states)):
+            if not before >> left & 1:
+                out.append(i)
+                left -= sizes[i]
+    return out
+
+
 def emptied(a: list[int], others: list[list[int]], fill: dict[int, int], sizes: list[int], capacity: int) -> bool:
-    """Tries to empty bin ``a`` into ``others`` by moves and exchanges, each raising the sum of squared fills; True if it is empty.
+    """Tries to empty bin ``a`` into ``others``, each filled as far as its items and those of ``a`` allow; True if it is empty.
 
-    Every exchange gives the fuller bin more than it takes from it, so a try comes to an end.
+    Every exchange leaves less in ``a``, so a try comes to an end: when no other bin can be filled further.
     """
     order = sorted(range(len(others)), key=lambda b: -fill[b])
-    while True:
-        changed = False
-        for b in order:
-            room = capacity - fill[b]
-            if room <= 0 or not a:
-                continue
-            mine = sorted(a, key=lambda i: -sizes[i])
-            fits = next((i for i in mine if sizes[i] <= room), None)
-            if fits is not None:
-                a.remove(fits), others[b].append(fits)
-                fill[b] += sizes[fits]
-                changed = True
-                continue
-            if fill[b] < sum(sizes[i] for i in a):
-                continue
-            best = None  # (gain, given, taken)
-            theirs = sorted(others[b], key=lambda i: sizes[i])
-            keys = [sizes[i] for i in theirs]
-            for i in mine:
-                j = bisect.bisect_left(keys, sizes[i] - room)  # one for one: the smallest of theirs that makes room
-                if j < len(keys) and keys[j] < sizes[i] and (best is None or sizes[i] - keys[j] > best[0]):
-                    best = (sizes[i] - keys[j], [i], [theirs[j]])
-                lo, hi = 0, len(keys) - 1  # one for two of theirs
-                while lo < hi:
-                    two = keys[lo] + keys[hi]
-                    if two >= sizes[i]:
-                        hi -= 1
-                    elif sizes[i] - two > room:
-                        lo += 1
-                    else:
-                        if best is None or sizes[i] - two > best[0]:
-                            best = (sizes[i] - two, [i], [theirs[lo], theirs[hi]])
-                        hi -= 1
-            lo, hi = 0, len(mine) - 1  # two of mine for one
-            while lo < hi:
-                two = sizes[mine[lo]] + sizes[mine[hi]]
-                j = bisect.bisect_left(keys, two - room)
-                if j < len(keys) and keys[j] < two and (best is None or two - keys[j] > best[0]):
-                    best = (two - keys[j], [mine[lo], mine[hi]], [theirs[j]])
-                hi -= 1
-                if lo >= hi:
-                    lo, hi = lo + 1, len(mine) - 1
-            if best is not None:
-                gain, given, taken = best
-                for i in given:
-                    a.remove(i)
-                for i in taken:
-                    others[b].remove(i)
-                a.extend(taken), others[b].extend(given)
-                fill[b] += gain
-                changed = True
-        if not a or not changed:
-            break
+    own, same, k = sum(sizes[i] for i in a), 0, 0
+    while own and same < len(order):
+        b = order[k % len(order)]
+        k, same = k + 1, same + 1
+        if fill[b] >= capacity:
+            continue
+        both = sorted(a + others[b], key=lambda i: -sizes[i])
+        taken = {both[j] for j in fullest([sizes[i] for i in both], capacity)}
+        gain = sum(sizes[i] for i in taken) - fill[b]
+        if gain > 0:
+            a[:], others[b] = [i for i in both if i not in taken], [i for i in both if i in taken]
+            own, fill[b], same = own - gain, fill[b] + gain, 0
+    if not own and order:  # items without tokens fit anywhere
+        others[order[0]].extend(a)
+        a.clear()
     return not a
 
 

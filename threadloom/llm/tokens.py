@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,19 @@ def encoder(path: str = VOCABULARY):
     return kept("encoder " + path, make)
 
 
+def widths(path: str = VOCABULARY) -> np.ndarray:
+    """The bytes of each token, by its number."""
+
+    def make():
+        with open(path, "rb") as f:
+            size = {int(b): len(base64.b64decode(a)) for a, b in map(bytes.split, f)}
+        out = np.zeros(max(size) + 1, np.int64)
+        out[list(size)] = list(size.values())
+        return out
+
+    return kept("widths " + path, make)
+
+
 def source_name(c: Column) -> Column:
     """One spelling per source: trimmed, lower case, "_" for "-" and white space; null where nothing is left."""
     seen = F.lower(F.regexp_replace(c, r"^[\p{Z}\p{Cc}\p{Cf}]+|[\p{Z}\p{Cc}\p{Cf}]+$", ""))
